@@ -7,6 +7,7 @@ Every function works on one flat array of code points and an offsets array
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,13 +112,40 @@ with np.errstate(over="ignore"):
     _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_made: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.cumprod(out, out=out)
-    return out
+    """base**0 .. base**(n - 1) modulo 2**64, kept up to a few million for the next batch."""
+    kept = _made.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1 << 16), base, np.uint64)
+        kept[0] = 1
+        np.cumprod(kept, out=kept)
+        if len(kept) <= 1 << 22:
+            _made[int(base)] = kept
+    return kept[:n]
+
+
+@cache
+def letter_values() -> np.ndarray:
+    """A random-looking 64-bit value for every code point."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+def moving(values: np.ndarray, size: int, pick: np.ufunc = np.minimum) -> np.ndarray:
+    """Minimum (or maximum) of every ``size`` successive values, in two passes whatever the size."""
+    n = len(values)
+    if n < size:
+        return values[:0]
+    low = np.iinfo(values.dtype).max if pick is np.minimum else np.iinfo(values.dtype).min
+    blocks = -(-n // size)
+    table = np.full(blocks * size, low, values.dtype)
+    table[:n] = values
+    table = table.reshape(blocks, size)
+    ahead = pick.accumulate(table, axis=1).ravel()
+    behind = pick.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(behind[: n - size + 1], ahead[size - 1 : n])
 
 
 def windows(values: np.ndarray, size: int) -> np.ndarray:
