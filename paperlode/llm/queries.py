@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import sql, unify
+from . import spans, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,20 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(firsts, "look").select("chunk_id", "class_id", "forms")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(active_chunks(spark, sf_dir))
+
+
+def p2_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each chunk that stand verbatim in other documents."""
+    return spans.shared_length(active_chunks(spark, sf_dir))
+
+
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership of equal texts: what p2_found doesn't write out pair by pair."""
+    return spans.copies(active_chunks(spark, sf_dir)).where("lo <> hi").select("chunk_id", "class_id", "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
