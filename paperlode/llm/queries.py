@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import spans, sql, unify
+from . import neardup, spans, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,15 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.copies(active_chunks(spark, sf_dir)).where("lo <> hi").select("chunk_id", "class_id", "n")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(active_chunks(spark, sf_dir), neardup.STATED)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class of equal sets, its group of near-identical documents, its links."""
+    return neardup.near_groups(active_chunks(spark, sf_dir), neardup.STATED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
