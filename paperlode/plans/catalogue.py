@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import changes
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p4_found": changes.p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": changes.P4_FOUND}
