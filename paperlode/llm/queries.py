@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, spans, sql, unify
+from . import neardup, spans, split, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,15 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(active_chunks(spark, sf_dir), neardup.STATED)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.found(active_chunks(spark, sf_dir))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized chunk as pieces within the limit."""
+    return split.chunk_pieces(active_chunks(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 

@@ -37,5 +37,8 @@ FROM t JOIN (SELECT look, count(DISTINCT text_utf8) AS n FROM t GROUP BY look) U
 """
 
 
+P6_FOUND = "SELECT DISTINCT chunk_id FROM chunks WHERE active AND length(text_utf8) > 1200"
+
+
 def statements() -> dict[str, str]:
     return {name.lower(): text for name, text in globals().items() if name.isupper() and isinstance(text, str)}
