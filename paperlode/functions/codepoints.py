@@ -167,3 +167,51 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(BASE, n), dtype=np.uint64)])
         return mix((total[end] - total[start]) * _powers(_INV, n + 1)[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs of true elements that stay within a row."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = offsets[1:-1]
+    edge = edge[edge < len(inside)]
+    first[edge] |= inside[edge]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.searchsorted(offsets, start, side="right") - 1, start, end
+
+
+@cache
+def letters_and_digits() -> np.ndarray:
+    """True for code points that are letters or digits."""
+    table = np.zeros(0x110000, bool)
+    table[[c for c in (*range(0xD800), *range(0xE000, 0x323B0)) if chr(c).isalnum()]] = True
+    return table
+
+
+@cache
+def lower_case() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, start, pool) for :func:`expand` to lower case."""
+    n = 0x110000
+    start, length, extra = np.arange(n, dtype=np.uint32), np.ones(n, np.uint8), []
+    for c in (*range(0xD800), *range(0xE000, 0x1F000)):
+        if (low := chr(c).lower()) != chr(c):
+            if len(low) == 1:
+                start[c] = ord(low)
+            else:
+                start[c], length[c] = n + len(extra), len(low)
+                extra += map(ord, low)
+    return length, start, np.concatenate([np.arange(n, dtype=np.uint32), np.array(extra, np.uint32)])
+
+
+def lowered(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and offsets in lower case, character by character."""
+    return expand(codes, offsets, *lower_case())
+
+
+def word_hashes(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the words in lower case: maximal runs of letters and digits."""
+    codes, offsets = lowered(codes, offsets)
+    row, start, end = runs(letters_and_digits()[codes], offsets)
+    return row, spans(letter_values()[codes], start, end)
