@@ -58,16 +58,7 @@ STATED = NearDup(words=3, similarity=0.6, least=40, rows=3, bands=32)
 
 def _word_runs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of the maximal runs of a-z and 0-9 within rows."""
-    inside = ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edge = offsets[1:-1]
-    edge = edge[edge < len(codes)]
-    first[edge] |= inside[edge]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | first[1:]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return np.searchsorted(offsets, start, side="right") - 1, start, end
+    return cp.runs(((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57)), offsets)
 
 
 def shingles(codes: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, spans, split, sql, unify
+from . import leak, neardup, spans, split, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,16 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.chunk_pieces(active_chunks(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("run >= need").select("doc_id", "item_id")
+
+
+def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of half an item with one word edited allowed: distance and longest exact run."""
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
