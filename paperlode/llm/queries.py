@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import leak, neardup, spans, split, sql, unify
+from ..session import table, written
+from . import leak, neardup, quality, spans, split, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,15 @@ def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found(table(spark, sf_dir, "documents"))
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statistic of every document with its percentile and robust z-score within its language."""
+    return quality.placed(written(quality.stats(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
