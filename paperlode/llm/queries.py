@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, neardup, quality, spans, split, sql, unify
+from . import leak, mojibake, neardup, quality, spans, split, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,15 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.placed(written(quality.stats(table(spark, sf_dir, "documents"))))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(active_chunks(spark, sf_dir))
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected chunks with text and preview restored where possible."""
+    return mojibake.restored(active_chunks(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
