@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, mojibake, neardup, quality, spans, split, sql, unify
+from . import leak, mojibake, neardup, packing, quality, spans, split, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,16 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(active_chunks(spark, sf_dir))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's container of 2,048 tokens."""
+    return packing.assign(packing.sizes(table(spark, sf_dir, "documents")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and the share of their room that stays empty."""
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
