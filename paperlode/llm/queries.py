@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, mojibake, neardup, packing, quality, spans, split, sql, unify
+from . import leak, mojibake, neardup, ocr, packing, quality, spans, split, sql, unify
 
 
 def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.found(active_chunks(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+def p5_reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a scanned document as continuous paragraphs."""
+    return ocr.reflow(active_chunks(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
