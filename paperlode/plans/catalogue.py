@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes
+from . import changes, corpus, finding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": changes.p4_found}
+    return corpus.QUERIES | finding.QUERIES | changes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": changes.P4_FOUND}
+    return corpus.SQL | finding.SQL | changes.SQL
