@@ -183,9 +183,12 @@ def symbols(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def prior(symbol: str) -> float:
-    """Odds of garbled against meant: a hundredfold for each character by which a group is longer."""
-    return PRIOR if len(symbol) == 1 else 10.0 ** (2 * min(len(symbol), 6) - 3)
+def prior(symbol: str, l: int, r: int) -> float:  # noqa: E741
+    """Odds of garbled against meant: a hundredfold for each character by which a group is longer; even for a symbol
+    in a place where it can't be meant; low for the rest."""
+    if len(symbol) > 1:
+        return 10.0 ** (2 * min(len(symbol), 6) - 3)
+    return 1.0 if symbol not in PUNCTUATION and weight(symbol, "a", l, r) == 2 else PRIOR
 
 
 class Bigrams:
@@ -220,7 +223,7 @@ def learn(table: pd.DataFrame, model: Bigrams) -> pd.DataFrame:
             continue
         like = np.array([[model.like(x, l, r) for x in letters] for l, r in zip(rows["l"], rows["r"])])  # noqa: E741
         n = rows["n"].to_numpy(float)[:, None]
-        like[:, 0] /= prior(symbol)
+        like[:, 0] /= [prior(symbol, l, r) for l, r in zip(rows["l"], rows["r"])]  # noqa: E741
         theta = np.full(len(letters), 1 / len(letters))
         for _ in range(ITERATIONS):
             post = like * theta

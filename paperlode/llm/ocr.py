@@ -92,7 +92,7 @@ def page_numbers(text: str) -> list[int]:
         digits = m[1].translate(_DIGITS)
         if any(c.isdigit() for c in m[1]) or len(m[1]) <= 3:
             out.append(int(digits))
-    if m := _ROMAN.match(text):
+    if (m := _ROMAN.match(text)) and not m[1].isdigit():
         for form in {m[1], m[1].replace("!", "i"), m[1].replace("1", "l"), m[1].replace("!", "i").replace("l", "i"), m[1].replace("1", "i")}:
             if (n := roman(form)) is not None:
                 out.append(n)

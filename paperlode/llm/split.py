@@ -185,7 +185,8 @@ def file_ranges(files: DataFrame, path: str, size: str, spec: Split) -> DataFram
                 with open(p, "rb") as f:
                     f.seek(begin - skip)
                     data = f.read(skip + length + halo)
-                yield pa.RecordBatch.from_pylist([{path: p, "size": n, "begin": begin, "skip": skip, "length": length, "data": data}])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((p, n, begin, skip, length, data), kinds)], [path, "size", "begin", "skip", "length", "data"])
 
     step = F.lit(spec.range_bytes).cast("long")
     rows = (
