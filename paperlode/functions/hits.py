@@ -43,8 +43,9 @@ def hit_columns(df: DataFrame, score: Column | None = None) -> DataFrame:
 
 
 def rank_text(df: DataFrame) -> Column:
-    """Filename, path, page and preview as one text for the fuzzy scorer."""
-    return F.concat(F.col("filename"), F.lit(" "), F.col("path"), F.lit(" page "), F.col("page_no").cast("string"), F.lit(" "), F.col("preview"))
+    """Filename, path, page and preview as one text for the fuzzy scorer; what is null counts as empty."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat(part("filename"), F.lit(" "), part("path"), F.lit(" page "), part("page_no"), F.lit(" "), part("preview"))
 
 
 def _place(text: Column, needle: str) -> Column:
