@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one key that one task compares with each other.
@@ -16,14 +16,14 @@ def key_pairs(rows: DataFrame, key: list[str], row_id: str, condition: Column |
     so no task gets more than ``2 * block`` rows of a key at once and the cells of a hot key spread over
     the cluster. No pair is left out. ``row_id`` must be unique within a key; in a pair, a.row_id < b.row_id.
     Rows with a null in the key pair with nothing. ``condition`` may restrict the pairs, over ``a`` and ``b``.
-    Keys with one row are dropped before the join.
+    Keys are counted with map-side combining, and keys with one row are dropped before the pairing join; the join
+    with the counts has one row a key on one side, so adaptive execution may split a hot key's rows among tasks.
     """
     rest = [c for c in rows.columns if c not in key]
-    by_key = Window.partitionBy(*key)
+    whole = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
+    several = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     placed = (
-        rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
-        .withColumn("_n", F.count(F.lit(1)).over(by_key))
-        .where("_n > 1")
+        whole.join(several, key)
         .withColumn("_blocks", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
         .withColumn("_mine", F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

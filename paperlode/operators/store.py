@@ -1,8 +1,9 @@
 """The durable store: documents and chunks as immutable Parquet commits, merged on read.
 
-A commit adds the rows of one batch (upserts or deletions) or is a full snapshot (after compaction). The current
-document of a path is the one of the latest commit since the last snapshot; its chunks are those written with
-it. Nothing is rewritten by an upsert, so a batch costs what the batch holds; compaction bounds what a read merges.
+A commit adds a layer with the rows of one batch (upserts or deletions) or is a full snapshot (after compaction).
+The current document of a path is the one of the latest layer since the last snapshot; it names the layer that holds
+its chunks. Nothing is rewritten by an upsert or deletion, so a batch costs what the batch holds; compaction bounds
+what a read merges.
 Readers see the commits that were in the log when they began.
 """
 
@@ -15,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import CHUNKS, DOCUMENTS
 from ..session import written
@@ -22,6 +24,8 @@ from .ids import numbered
 from .incremental import CommitLog
 
 SNAPSHOT, DELTA = 1, 0
+#: A stored document row: with the layer of its chunks.
+_STORED = StructType([*DOCUMENTS, StructField("layer", StringType())])
 
 
 def now_ms() -> int:
@@ -45,35 +49,42 @@ class Store:
         return [(c.sequence, c.output) for c in commits[first:] if c.output]
 
     def _read(self, name: str, layers: list[tuple[int, str]]) -> DataFrame:
-        base = DOCUMENTS if name == "documents" else CHUNKS
-        empty = self.spark.createDataFrame([], base).withColumn("_seq", F.lit(0).cast("long"))
-        parts = [self.spark.read.schema(base).parquet(f"{folder}/{name}").withColumn("_seq", F.lit(seq).cast("long")) for seq, folder in layers]
+        """All rows of the layers, documents with ``_seq``, chunks with ``layer``."""
+        schema = _STORED if name == "documents" else CHUNKS
+        mark = (lambda seq, folder: ("_seq", F.lit(seq).cast("long"))) if name == "documents" else (lambda seq, folder: ("layer", F.lit(folder.rsplit("/", 1)[-1])))
+        empty = self.spark.createDataFrame([], schema).withColumn(*mark(0, ""))
+        parts = [self.spark.read.schema(schema).parquet(f"{folder}/{name}").withColumn(*mark(seq, folder)) for seq, folder in layers]
         return reduce(DataFrame.unionByName, parts) if parts else empty
 
-    def documents(self, versions: bool = False) -> DataFrame:
-        """The current row of every path (with ``_seq``, its commit, if ``versions``)."""
-        return self._documents(self._layers(), versions)
+    def documents(self) -> DataFrame:
+        """The current row of every path."""
+        return self._documents(self._layers()).select(*DOCUMENTS.names)
 
-    def _documents(self, layers: list[tuple[int, str]], versions: bool) -> DataFrame:
+    def _documents(self, layers: list[tuple[int, str]]) -> DataFrame:
         rows = self._read("documents", layers)
         if len(layers) > 1:
             rows = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), "_seq").alias("d")).select("d.*")
-        return rows if versions else rows.drop("_seq")
+        return rows.drop("_seq")
 
     def chunks(self) -> DataFrame:
         """All chunks of current documents; those of deleted ones are inactive."""
         layers = self._layers()
-        rows = self._read("chunks", layers)
-        docs = self._documents(layers, True).select("doc_id", "_seq", F.col("status").alias("_status"))
-        # chunks written with the current row; a deletion writes the chunks it found, as inactive rows
-        alive = rows.join(docs, ["doc_id", "_seq"])
-        return alive.withColumn("active", F.col("active") & (F.col("_status") != "deleted")).select(*CHUNKS.names)
+        docs = self._documents(layers).select("doc_id", "layer", F.col("status").alias("_status"))
+        rows = self._read("chunks", layers).join(docs, ["doc_id", "layer"])
+        return rows.withColumn("active", F.col("active") & (F.col("_status") != "deleted")).select(*CHUNKS.names)
 
-    def _commit(self, documents: DataFrame, chunks: DataFrame, kind: int = DELTA) -> None:
+    def newest_chunks(self) -> DataFrame:
+        """The chunks of the last commit alone."""
+        return self._read("chunks", self._layers()[-1:]).select(*CHUNKS.names)
+
+    def _commit(self, documents: DataFrame, chunks: DataFrame | None, kind: int = DELTA) -> None:
+        """Write a layer and publish it; rows without a layer of their own get this one."""
         last = self.log.last()
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        documents.select(*DOCUMENTS.names).write.parquet(f"{folder}/documents")
-        chunks.select(*CHUNKS.names).write.parquet(f"{folder}/chunks")
+        layer = uuid.uuid4().hex
+        folder = f"{self.root}/data/{layer}"
+        own = F.coalesce(F.col("layer"), F.lit(layer)) if "layer" in documents.columns else F.lit(layer)
+        documents.withColumn("layer", own).select(*_STORED.names).write.parquet(f"{folder}/documents")
+        (self.spark.createDataFrame([], CHUNKS) if chunks is None else chunks.select(*CHUNKS.names)).write.parquet(f"{folder}/chunks")
         self.log.commit(last, kind, folder)
 
     def upsert(self, extracted: DataFrame, at_ms: int | None = None) -> DataFrame:
@@ -98,10 +109,9 @@ class Store:
     def mark_deleted(self, paths: DataFrame, at_ms: int | None = None) -> DataFrame:
         """Soft delete: (path) rows become deleted, their chunks inactive. Returns (doc_id, path) of those found."""
         at_ms = now_ms() if at_ms is None else at_ms
-        found = written(self.documents().where("status <> 'deleted'").join(paths.select("path").distinct(), "path", "left_semi"))
-        gone = found.withColumns({"status": F.lit("deleted"), "deleted_at_ms": F.lit(at_ms).cast("long")})
-        kept = written(self.chunks().join(found.select("doc_id"), "doc_id", "left_semi").withColumn("active", F.lit(False)))
-        self._commit(gone, kept)
+        current = self._documents(self._layers()).where("status <> 'deleted'")
+        found = written(current.join(paths.select("path").distinct(), "path", "left_semi"))
+        self._commit(found.withColumns({"status": F.lit("deleted"), "deleted_at_ms": F.lit(at_ms).cast("long")}), None)
         return found.select("doc_id", "path")
 
     def compact(self) -> None:

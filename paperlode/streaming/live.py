@@ -125,7 +125,7 @@ class LiveIndex:
         if not found.isEmpty():
             ids = written(self.store.upsert(found))
             self.progress.add(**{r["status"]: r["count"] for r in ids.groupBy("status").count().collect()})  # at most four rows
-            fresh = items(self.store.chunks().join(ids.select("doc_id"), "doc_id", "left_semi"), self.store.documents())
+            fresh = items(self.store.newest_chunks(), self.store.documents())
             overlay = overlay.modify(ids, written(fresh))
         if not removed.isEmpty():
             gone = written(self.store.mark_deleted(removed))
