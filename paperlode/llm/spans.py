@@ -134,19 +134,20 @@ def copies(chunks: DataFrame, spec: Spans = Spans()) -> DataFrame:
     """(chunk_id, doc_id, class_id, n, lo, hi, stands): membership of every chunk long enough to share a span.
 
     ``stands``: the chunk takes part in pairs. In classes of up to ``FEW`` copies all do; in larger ones
-    the two copies of the lowest and highest document stand for the rest.
+    the two copies of the lowest and highest document stand for the rest. Classes are aggregates that combine
+    before the shuffle, joined back, so a class with a third of all chunks may be split among tasks.
     """
-    by = Window.partitionBy("digest")
-    return (
+    rows = written(
         chunks.where(F.length("text_norm_ascii") >= spec.least)
         .select("chunk_id", "doc_id", F.unhex(F.md5("text_norm_ascii")).alias("digest"))
         .dropDuplicates(["chunk_id"])
-        .withColumns({
-            "class_id": F.min("chunk_id").over(by), "n": F.count(F.lit(1)).over(by), "lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by),
-            "first": F.min(F.struct("doc_id", "chunk_id")).over(by)["chunk_id"], "last": F.max(F.struct("doc_id", "chunk_id")).over(by)["chunk_id"],
-        })
-        .select("chunk_id", "doc_id", "class_id", "n", "lo", "hi", "first", "last", ((F.col("n") <= FEW) | F.col("chunk_id").isin(F.col("first"), F.col("last"))).alias("stands"))
-    )
+    )
+    member = F.struct("doc_id", "chunk_id")
+    classes = rows.groupBy("digest").agg(
+        F.min("chunk_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(member)["chunk_id"].alias("first"), F.max(member)["chunk_id"].alias("last")
+    )
+    stands = (F.col("n") <= FEW) | F.col("chunk_id").isin(F.col("first"), F.col("last"))
+    return rows.join(classes, "digest").select("chunk_id", "doc_id", "class_id", "n", "lo", "hi", "first", "last", stands.alias("stands"))
 
 
 #: Copies up to which a class of equal texts is written out pair by pair; beyond it membership says the same.
@@ -185,8 +186,9 @@ def shared_length(chunks: DataFrame, spec: Spans = Spans()) -> DataFrame:
     whole = copies(chunks, spec)
     ranges = (
         spans.select(F.explode(F.array(F.struct(F.col("class_a").alias("class_id"), F.col("start_a").alias("s"), "length"), F.struct(F.col("class_b").alias("class_id"), F.col("start_b").alias("s"), "length"))).alias("r"))
-        .select("r.class_id", "r.s", (F.col("r.s") + F.col("r.length")).alias("e"))
+        .groupBy("r.class_id", "r.s").agg(F.max(F.col("r.s") + F.col("r.length")).alias("e"))
     )
+    # by now a class has at most one row for each of its characters
     before = F.max("e").over(Window.partitionBy("class_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     covered = ranges.withColumn("from", F.greatest("s", F.coalesce(before, F.lit(0)))).groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.col("from"))).alias("covered"))
     lengths = chunks.select("chunk_id", F.coalesce(F.length("text_norm_ascii"), F.lit(0)).alias("n_chars")).dropDuplicates(["chunk_id"])

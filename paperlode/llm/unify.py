@@ -16,12 +16,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import codepoints as cp
 from ..operators.pairs import key_pairs
+from ..session import written
 
 # Letters of other scripts that look like a Latin letter.
 LOOK_ALIKE = {
@@ -188,18 +189,17 @@ def look_classes(chunks: DataFrame) -> DataFrame:
     return (
         unify(rows)
         .select("chunk_id", "doc_id", F.unhex(F.md5("text_unified")).alias("look"), F.unhex(F.md5("text_utf8")).alias("form"))
-        .repartition("look")
-        .dropDuplicates(["look", "chunk_id", "doc_id", "form"])
+        .distinct()
     )
 
 
 def same_look_pairs(chunks: DataFrame) -> DataFrame:
     """Pairs of chunks of different documents whose text looks the same but isn't equal.
 
-    Copies with equal characters are no pair, so a group of exact copies adds nothing however large;
-    classes of one form are dropped right after the shuffle by class.
+    Copies with equal characters are no pair, so a group of exact copies adds nothing however large; classes of
+    one form are found by an aggregate that combines before the shuffle, and dropped.
     """
-    rows = look_classes(chunks)
-    by = Window.partitionBy("look")
-    mixed = rows.withColumn("_lo", F.min("form").over(by)).withColumn("_hi", F.max("form").over(by)).where("_lo <> _hi").select("look", "chunk_id", "doc_id", "form")
+    rows = written(look_classes(chunks))
+    several = rows.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).where("_lo <> _hi").select("look")
+    mixed = rows.join(several, "look").select("look", "chunk_id", "doc_id", "form")
     return key_pairs(mixed, ["look"], "chunk_id", (F.col("a.form") != F.col("b.form")) & (F.col("a.doc_id") != F.col("b.doc_id"))).select(F.col("a.chunk_id").alias("chunk_id_a"), F.col("b.chunk_id").alias("chunk_id_b")).distinct()
