@@ -281,9 +281,9 @@ def _tokens(chunks: DataFrame, spec: Ocr) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: set[tuple] = set()
-            for doc, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, page, start, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 text = _BROKEN.sub("\n", text)
-                cut = text.split(" ", 1)[1] if " " in text[:60] and text[:1].isalnum() and not text[:1].isupper() else text
+                cut = text.split(" ", 1)[1] if start and " " in text[:60] else text
                 solid = [x for x in cut.split("\n") if x.strip() and _solid(x)]
                 marked = {x: line_parts(x)[0] for x in solid[: spec.lines] + solid[-spec.lines :]}
                 for line in solid:
@@ -295,7 +295,7 @@ def _tokens(chunks: DataFrame, spec: Ocr) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "page_no", "key", "form"])
 
-    return chunks.where("text_utf8 IS NOT NULL").select("doc_id", "page_no", "text_utf8").mapInArrow(run, "doc_id long, page_no int, key string, form string")
+    return chunks.where("text_utf8 IS NOT NULL").select("doc_id", "page_no", "char_start", "text_utf8").mapInArrow(run, "doc_id long, page_no int, key string, form string")
 
 
 @dataclass
