@@ -95,7 +95,7 @@ def class_spans(chunks: DataFrame, spec: Spans = Spans()) -> DataFrame:
 
     A class is the set of chunks with equal text; its id is the smallest chunk_id.
     """
-    seeds = (
+    seeds = written(  # read twice by key_pairs
         _anchor_rows(chunks, spec)
         .groupBy("anchor", "at", "digest")
         .agg(F.min("chunk_id").alias("id"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
