@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,17 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         if not folder:
             folder = tempfile.mkdtemp(prefix="paperlode-")
             spark._paperlode_dir = folder
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, cuts the lineage."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write as Parquet under the shared folder and read it back: column pruning stays possible."""
     spark = df.sparkSession

@@ -31,25 +31,25 @@ def ids(df):
 def shot(spark):
     base = frame(
         spark,
-        (1, 1, "/a.pdf", 1, "the quick brown fox jumps over"),
-        (2, 2, "/b.pdf", 1, "Order #42 was placed.\nORDER  #7"),
-        (3, 3, "/c.pdf", 1, "Order #1337 shipped to café résumé"),
+        (1, 1, "/a.pdf", 1, "seven green lanterns hang above"),
+        (2, 2, "/b.pdf", 1, "Parcel #42 came in.\nPARCEL  #7"),
+        (3, 3, "/c.pdf", 1, "Parcel #1337 went to café résumé"),
         (4, 4, "/d.pdf", 2, "straße größe"),
     ).cache()
     return search.Snapshot(base, Overlay.empty(spark, base), bi.BigramIndex.build(base))
 
 
 @pytest.mark.parametrize(("query", "mode", "expected"), [
-    ("quick", "literal", [1]), ("QUICK  Brown", "literal", [1]), ("cafe resume", "literal", [3]), ("café", "literal", [3]), ("order", "literal", [2, 3]), ("zzz", "literal", []), ("", "literal", []), ("  ", "literal", []),
-    (r"order #\d+", "regex", [2, 3]), (r"#\d{4}", "regex", [3]), (r"^order", "regex", [2, 3]), ("größe$", "regex", [4]), ("GRÖSSE|STRASSE", "regex", []), ("STRAßE", "regex", [4]), ("  ", "regex", []), (r"\bfox\b", "regex", [1]), (r"placed\.$", "regex", []),
+    ("green", "literal", [1]), ("SEVEN  Green", "literal", [1]), ("cafe resume", "literal", [3]), ("café", "literal", [3]), ("parcel", "literal", [2, 3]), ("zzz", "literal", []), ("", "literal", []), ("  ", "literal", []),
+    (r"parcel #\d+", "regex", [2, 3]), (r"#\d{4}", "regex", [3]), (r"^parcel", "regex", [2, 3]), ("größe$", "regex", [4]), ("GRÖSSE|STRASSE", "regex", []), ("STRAßE", "regex", [4]), ("  ", "regex", []), (r"\bhang\b", "regex", [1]), (r"came in\.$", "regex", []),
 ])
 def test_modes(shot, query, mode, expected):
     assert sorted(ids(search.search(shot, query, mode, 10))) == expected
 
 
 def test_limits(shot):
-    assert ids(search.search(shot, "order", "literal", 0)) == []
-    assert ids(search.search(shot, "order", "literal", 1)) == [2]
+    assert ids(search.search(shot, "parcel", "literal", 0)) == []
+    assert ids(search.search(shot, "parcel", "literal", 1)) == [2]
 
 
 @pytest.mark.parametrize("bad", ["[invalid", "(a", "a)", "(?=x)", r"(a)\1", "*a", "a{3,1}", r"\q"])
@@ -92,22 +92,22 @@ def test_snippets(spark):
 
 
 def test_fuzzy_finds_close_token(spark):
-    base = frame(spark, (1, 1, "/a.pdf", 1, "the quick brown fox jumps over"), (2, 2, "/b.pdf", 1, "completely unrelated text"), (3, 3, "/c.pdf", 1, "yet another paragraph"))
-    got = hits(search.fuzzy(search.Snapshot(base, None, bi.BigramIndex.build(base)), "qiuck", 10))
+    base = frame(spark, (1, 1, "/a.pdf", 1, "seven green lanterns hang above"), (2, 2, "/b.pdf", 1, "nothing of the kind"), (3, 3, "/c.pdf", 1, "one more piece"))
+    got = hits(search.fuzzy(search.Snapshot(base, None, bi.BigramIndex.build(base)), "grene", 10))
     assert "/a.pdf" in [h["path"] for h in got[:3]]
 
 
-@pytest.mark.parametrize(("query", "first"), [("streicher universality", 1), ("streicher 1994", 1), ("STREICHER", 2)])
+@pytest.mark.parametrize(("query", "first"), [("hartmann lattices", 1), ("hartmann 1987", 1), ("HARTMANN", 2)])
 def test_filename_band(spark, query, first):
     base = frame(
         spark,
-        (1, 1, "/papers/Streicher - 1994 - A universality.pdf", 1, "totally unrelated body text here"), (2, 2, "/papers/streicher.pdf", 1, "body"), (3, 2, "/papers/streicher.pdf", 2, "streicher again"),
-        (4, 3, "/papers/long-prefix-that-buries-streicher.pdf", 1, "body"), (5, 4, "/papers/other.pdf", 1, "this says streicher streicher 1994 universality"),
+        (1, 1, "/papers/Hartmann - 1987 - On lattices.pdf", 1, "words on other things"), (2, 2, "/papers/hartmann.pdf", 1, "body"), (3, 2, "/papers/hartmann.pdf", 2, "hartmann again"),
+        (4, 3, "/papers/some-words-ahead-of-hartmann.pdf", 1, "body"), (5, 4, "/papers/other.pdf", 1, "this says hartmann hartmann 1987 lattices"),
     )
     got = hits(search.fuzzy(search.Snapshot(base, Overlay.empty(spark, base), bi.BigramIndex.build(base)), query, 10))
     assert got[0]["doc_id"] == first and got[0]["score"] == 1.0
     assert len([h for h in got if h["doc_id"] == 2]) <= 1
-    if query == "STREICHER":
+    if query == "HARTMANN":
         assert [h["doc_id"] for h in got][:3] == [2, 1, 3] and got[-1]["doc_id"] == 4
 
 
@@ -125,10 +125,10 @@ def test_overlay(spark):
     stats = changed.stats(base).first()
     assert (stats["tombstones"], stats["overflow"], stats["generation"], stats["needs_rebuild"]) == (2, 1, 1, True)
     assert not o.stats(base).first()["needs_rebuild"] and not o.stats(base.limit(0)).first()["needs_rebuild"]
-    added = o.add(frame(spark, (20, 9, "/streicher.pdf", 1, "brand new common")))
+    added = o.add(frame(spark, (20, 9, "/hartmann.pdf", 1, "brand new common")))
     assert see(added)[-1] == 20
     # a document that only the overlay has is found by its text, not by its name, before a rebuild
-    names = hits(search.fuzzy(search.Snapshot(base, added), "streicher", 10))
+    names = hits(search.fuzzy(search.Snapshot(base, added), "hartmann", 10))
     assert not names or names[0]["doc_id"] != 9 or names[0]["score"] != 1.0
 
 

@@ -52,6 +52,7 @@ def test_preview(spark):
     assert [r["preview"] for r in tx.with_preview(df).collect()] == ["é" * 100, "a b c", "x" * 199, None]
 
 
+# Patterns in common use, with pairs their decomposition must have.
 @pytest.mark.parametrize(("regex", "near", "apart"), [
     (r"fn\s+\w+", ["fn", "n "], []), (r"use\s+crate::", ["us", "se", "cr", "ra", "at", "te", "::"], ["ue", "ca", "rt", "ae"]), (r"unwrap\(\)|expect\(", ["nw", "wr", "ra", "ap", "p(", "xp", "pe", "ec", "ct", "t("], []),
     ("TODO|FIXME|HACK", ["to", "od", "do", "fi", "ix", "xm", "me", "ha", "ac", "ck"], ["hc", "ak"]), ("foo.bar", ["fo", "oo", "ba", "ar"], ["ob"]), ("ab{2}c", ["ab", "bb", "bc"], []), ("(?:ab)+", ["ab"], []),
