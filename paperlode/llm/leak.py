@@ -158,9 +158,9 @@ def leaks(documents: DataFrame, items: DataFrame, spec: Leak = Leak()) -> DataFr
     """(doc_id, item_id, distance, run, need): documents that hold a run of an item, once per pair.
 
     ``distance``: word edits of the best run of ``need`` words, at most ``spec.errors``; 0 for an unbroken run.
-    Null and empty texts and passages leak nothing; repeated rows count once.
+    Null and empty texts and passages, and items without a number, leak nothing; repeated rows count once.
     """
-    rows = items.where("passage IS NOT NULL").select("item_id", "passage").dropDuplicates(["item_id"]).orderBy("item_id").toLocalIterator()
+    rows = items.where("passage IS NOT NULL AND item_id IS NOT NULL").select("item_id", "passage").dropDuplicates(["item_id"]).orderBy("item_id").toLocalIterator()
     blocks: list[DataFrame] = []
     block: list = []
     source = documents.where("text IS NOT NULL").select("doc_id", "text")

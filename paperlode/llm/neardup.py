@@ -116,13 +116,13 @@ def _doc_sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _by_doc(chunks: DataFrame) -> DataFrame:
-    return chunks.where("text_norm_ascii IS NOT NULL").select("doc_id", "text_norm_ascii").repartition("doc_id").sortWithinPartitions("doc_id")
+    return chunks.where("text_norm_ascii IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text_norm_ascii").repartition("doc_id").sortWithinPartitions("doc_id")
 
 
 def signatures(chunks: DataFrame, spec: NearDup) -> DataFrame:
     """(doc_id, n, digest_1, digest_2, keys, lanes) of documents with at least ``spec.least`` shingles.
 
-    A replayed chunk adds nothing to a set.
+    A replayed chunk adds nothing to a set; rows without text or doc_id are left out.
     """
     many = spec.rows * spec.bands
     seeds = cp.mix(np.arange(1, 2 * many + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))

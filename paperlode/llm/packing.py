@@ -46,7 +46,7 @@ def _encoding(path: str, pattern: str):  # noqa: ANN202
 
 
 def sizes(documents: DataFrame, spec: Packing = Packing()) -> DataFrame:
-    """(doc_id, tokens) of every document; null and empty texts have none."""
+    """(doc_id, tokens) of every document; null and empty texts have none, rows without doc_id are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(spec.ranks, spec.pattern).encode_ordinary
@@ -54,7 +54,7 @@ def sizes(documents: DataFrame, spec: Packing = Packing()) -> DataFrame:
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long")
+    return documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long")
 
 
 def pack(size: np.ndarray, capacity: int) -> np.ndarray:

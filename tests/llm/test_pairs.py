@@ -140,3 +140,12 @@ def test_clashing_columns(spark):
     spec = neardup.NearDup(words=2, similarity=0.5, rows=2, bands=8)
     assert [tuple(r) for r in neardup.near_pairs(df, spec).collect()] == [(1, 2)]
     assert [tuple(r) for r in spans.shared_pairs(df, spans.Spans(least=10, k=4)).collect()] == [(1, 2)]
+
+
+def test_null_ids(spark):
+    text = " ".join(f"word{n}" for n in range(60))
+    df = chunks(spark, (1, None, text), (None, 2, text), (3, 3, text), (None, None, text), (4, 4, text.replace("o", "о")), (None, 5, text.replace("w", "ｗ")))
+    assert [tuple(r) for r in unify.same_look_pairs(df).collect()] == [(3, 4)]
+    assert spans.shared_pairs(df, spans.Spans(least=60, k=20)).count() >= 0 and spans.shared_length(df, spans.Spans(least=60, k=20)).count() >= 2
+    spec = neardup.NearDup(words=2, similarity=0.9, rows=2, bands=8)
+    assert (2, 3) in [tuple(r) for r in neardup.near_pairs(df, spec).collect()] and neardup.near_groups(df, spec).where("doc_id IS NULL").count() == 0

@@ -253,3 +253,16 @@ def test_stitch():
     data = text.encode()
     windows = [(0, 100, data[:100].decode()), (60, 160, data[60:160].decode()), (140, len(data), data[140:].decode())]
     assert ocr.stitch(windows[::-1]) == text and ocr.stitch([]) == ""
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, PROSE, "en", "ok"), (1, LIST, None, "ok"), (None, None, None, None), (2, PROSE, "en", "ok")], "doc_id long, text string, lang string, status string")
+    items = spark.createDataFrame([(None, PROSE), (5, PROSE[:60])], "item_id long, passage string")
+    assert (2, 5) in [(r["doc_id"], r["item_id"]) for r in leak.leaks(docs, items).collect()]
+    assert {r["doc_id"] for r in packing.assign(packing.sizes(docs)).collect()} == {1, 2}
+    assert quality.stats(docs).count() == 3 and quality.found(docs).count() >= 0
+    rows = [(None, None, None, None, None, GERMAN, None, None), (1, None, 1, 0, 0, "x " * 900, "ab", "/library/a/x.pdf"), (None, 3, None, None, None, "y " * 900, "Ã¼ber", None)]
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id long, page_no int, chunk_ord int, char_start int, text_utf8 string, preview string, path string").withColumn("char_end", F.lit(None).cast("int"))
+    assert [r["chunk_id"] for r in split.found(df).where("chunk_id IS NOT NULL").collect()] == [1] and split.chunk_pieces(df).count() >= 2
+    assert mojibake.found(df).count() >= 0 and mojibake.restored(df).count() >= 0
+    assert ocr.found(df, docs).count() >= 0 and ocr.reflow(df).count() >= 0
