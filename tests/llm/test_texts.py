@@ -92,6 +92,25 @@ def test_round_trip(spark):
     assert mojibake.found(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", ["cp1251", "koi8-r", "iso8859-5", "cp1253", "mac_cyrillic", "cp855", "ptcp154", None])
+def test_pages_of_other_alphabets(spark, page):
+    """Also pages that no list names: None is a made one with Georgian letters."""
+    texts = ["Le résumé avant une étude dépasse la théorie générale et la pièce célèbre. ", "Die größere Fläche überlagert die schöne Brücke, die Prüfung zerstört das Gefäß. "]
+    made = {ord(c): 0x10D0 + i for i, c in enumerate(mojibake.LETTERS) if c.isalpha()}
+    wrong = [t.translate(made) if page is None else t.encode("cp1252").decode(page) for t in texts]
+    good = [(n, "/library/a/g.pdf", (GERMAN if n % 2 else FRENCH) + texts[n % 2], None) for n in range(60)]
+    bad = [(100 + n, f"/library/{n % 2}/b.pdf", t, None) for n, t in enumerate(wrong)]
+    meant = [
+        "Die Stаdt undеr thе lаntеrn, tһe sесоnd ѕаmрle οf the cοmmittee", "Δt and Δx of 5 μm, 3 kΩ, sinθ, 2πr", "Это русский текст, а не ошибка: йод, ёж и цирк", "слово word и слово", "Dvořák and Škoda", "a×b, x→y, m²s, l·l, 10 °C",
+        "Ελληνικά γράμματα και word", "office ﬁle ｔｒａｉｔé",
+    ]
+    df = spark.createDataFrame(good + bad + [(200 + n, "/library/b/m.pdf", t, None) for n, t in enumerate(meant)], "chunk_id long, path string, text_utf8 string, preview string")
+    assert {r["chunk_id"] for r in mojibake.found(df).collect()} == {100, 101}
+    fixed = {r["chunk_id"]: r["text_utf8"] for r in mojibake.restored(df).collect()}
+    if page == "cp1251":
+        assert [fixed[100], fixed[101]] == texts
+
+
 # -- packing
 
 
