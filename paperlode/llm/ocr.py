@@ -123,19 +123,20 @@ def edges(text: str, head: bool, n: int) -> list[tuple[bool, str, list[int]]]:
     return out + [(False, *line_parts(x)) for x in lines[-n:]]
 
 
-def broken_words(text: str, inner: bool) -> list[tuple[str, str]]:
-    """(left, right) of words broken over a line end; a part cut by the window's edge (``inner``) is left out."""
+def broken_words(text: str, head: bool) -> list[tuple[str, str, bool]]:
+    """(left, right, last) of words broken over a line end; one at the text's start is left out unless the text begins
+    the page (``head``), as it may be cut; so may one that ends the text (``last``), unless the text ends the page."""
     out = []
     for m in _BROKEN.finditer(text):
-        if inner and (m.start() == 0 or m.end() == len(text)):
+        if m.start() == 0 and not head:
             continue
         left, right = strip(m[1] + "x")[:-1], strip("x" + m[2])[1:]
         if left and right and right[0].isalpha() and left[-1].isalpha():
-            out.append((left, right))
+            out.append((left, right, m.end() == len(text)))
     return out
 
 
-_PART = "doc_id long, page_no int, char_end int, head array<struct<key:string,numbers:array<int>>>, foot array<struct<key:string,numbers:array<int>>>, broken array<struct<l:string,r:string>>, word string, n int"
+_PART = "doc_id long, page_no int, char_end int, head array<struct<key:string,numbers:array<int>>>, foot array<struct<key:string,numbers:array<int>>>, broken array<struct<l:string,r:string,last:boolean>>, word string, n int"
 
 
 def parts(chunks: DataFrame, spec: Ocr) -> DataFrame:
@@ -143,7 +144,7 @@ def parts(chunks: DataFrame, spec: Ocr) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("key", pa.string()), ("numbers", pa.list_(pa.int32()))]))
-        pair = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
+        pair = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string()), ("last", pa.bool_())]))
         for batch in batches:
             words: dict[int, set[str]] = {}
             rows = []
@@ -151,7 +152,7 @@ def parts(chunks: DataFrame, spec: Ocr) -> DataFrame:
                 words.setdefault(doc, set()).update(text.split())
                 e = edges(text, start == 0, spec.lines)
                 pack = lambda side, e=e: [{"key": k, "numbers": v} for h, k, v in e if h == side and (v or len(k) >= 8)]
-                b = [{"l": x, "r": y} for x, y in broken_words(text, True)]
+                b = [{"l": x, "r": y, "last": z} for x, y, z in broken_words(text, start == 0)]
                 rows.append((doc, page, end, pack(True), pack(False), b))
             count = Counter()
             for tokens in words.values():
@@ -313,7 +314,11 @@ def repairs(chunks: DataFrame, spec: Ocr = Ocr()) -> Repairs:
     found = written(parts(chunks, spec))
     running, numbered = (written(x) for x in furniture(found))
     words = written(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
-    pairs = written(found.where("word IS NULL").select("doc_id", "page_no", F.explode("broken").alias("b")).select("doc_id", "page_no", "b.l", "b.r").distinct())
+    pages = found.where("word IS NULL")
+    ends = pages.groupBy("doc_id", "page_no").agg(F.max("char_end").alias("char_end"))
+    broken = pages.select("doc_id", "page_no", "char_end", F.explode("broken").alias("b")).select("doc_id", "page_no", "char_end", "b.*")
+    whole = broken.where("NOT last").unionByName(broken.where("last").join(ends, ["doc_id", "page_no", "char_end"], "left_semi"))
+    pairs = written(whole.select("doc_id", "page_no", "l", "r").distinct())
 
     # documents with furniture or broken words are scans; only their words are looked at
     scans = running.select("doc_id").unionByName(numbered.select("doc_id")).unionByName(pairs.select("doc_id")).distinct()

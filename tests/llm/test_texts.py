@@ -267,6 +267,17 @@ def test_scan(spark):
     assert ocr.found(df.limit(0), documents).count() == 0
 
 
+def test_broken_words_at_the_edges_of_a_page(spark):
+    body = "the strange economy of the municipal archive "
+    rows = [(d, 1, 0, len(body), body) for d in range(300, 340)]
+    rows += [(1, 1, 0, 20, "econ-\nomy of the muni-\nci"), (1, 1, 10, 40, "muni-\ncipal archive and str-\nange."), (2, 1, 0, 40, "a strange eco-\nnomy"), (2, 2, 30, 60, "mic-\nipal archive")]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "chunk_id long, doc_id long, page_no int, char_start int, char_end int, text_utf8 string")
+    documents = spark.createDataFrame([(d, "ok") for d in range(600)], "doc_id long, status string")
+    got = {tuple(r)[:2] + (r["word"],) for r in ocr.found(df, documents).where("kind = 'hyphen'").collect()}
+    assert got == {(1, 1, "economy"), (1, 1, "strange"), (2, 1, "economy")}
+    assert {r["page_no"]: r["text"] for r in ocr.reflow(df).where("doc_id = 2").collect()}[1] == "a strange economy"
+
+
 def test_stitch():
     text = "é" * 50 + "abc" * 40
     data = text.encode()
