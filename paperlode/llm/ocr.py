@@ -38,7 +38,7 @@ DASHES = "-‐­¬"
 @dataclass(frozen=True)
 class Ocr:
     """``least``: documents that must use a word of the vocabulary; ``ratio``: times a word must be more frequent than
-    its misread form; ``lines``: lines at head and foot looked at; ``shard``: words of a vocabulary shard."""
+    its misread form, unless the same document uses it; ``lines``: lines at head and foot looked at; ``shard``: words of a vocabulary shard."""
 
     least: int = 5
     ratio: int = 20
@@ -273,6 +273,26 @@ def corrections(forms: DataFrame, words: DataFrame, spec: Ocr) -> DataFrame:
     return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(look, "form string, word string, n long")
 
 
+def printed_forms(form: str) -> set[str]:
+    """What the form may be a misreading of, by one known confusion."""
+    return {form[: m.start()] + printed + form[m.start() + len(read) :] for printed, read in CONFUSIONS for m in re.finditer(f"(?={re.escape(read)})", form)} - {form}
+
+
+def local_corrections(rows: DataFrame, seen: DataFrame, words: DataFrame, used: DataFrame) -> DataFrame:
+    """(doc_id, form, word, n): for rare forms of (doc_id, form), at most one other document having them, words of the same
+    document by a known confusion, however few documents use them: more than the form, or as many if only the form
+    has a digit or mark in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(form, n, word) for form, n in zip(batch.column("form").to_pylist(), batch.column("n").to_pylist()) for word in printed_forms(form)]
+            columns = list(zip(*pairs)) if pairs else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["form", "own", "word"])
+
+    near = seen.where("n <= 2").select("form", F.col("n").cast("long").alias("n")).mapInArrow(run, "form string, own long, word string").join(words, "word").where("n > own OR n = own AND form RLIKE '[0-9!]' AND word NOT RLIKE '[0-9!]'")
+    return near.join(rows, "form").join(used.select("doc_id", "word"), ["doc_id", "word"], "left_semi").select("doc_id", "form", "word", "n")
+
+
 def _tokens(chunks: DataFrame, spec: Ocr) -> DataFrame:
     """(doc_id, page_no, key, form): words of each chunk; key is that of the line where it may be a running one.
 
@@ -322,7 +342,7 @@ def repairs(chunks: DataFrame, spec: Ocr = Ocr()) -> Repairs:
 
     # documents with furniture or broken words are scans; only their words are looked at
     scans = running.select("doc_id").unionByName(numbered.select("doc_id")).unionByName(pairs.select("doc_id")).distinct()
-    tokens = _tokens(chunks.join(scans, "doc_id", "left_semi"), spec).distinct()
+    tokens = written(_tokens(chunks.join(scans, "doc_id", "left_semi"), spec).distinct())
     head = running.select("doc_id", "key").distinct()
     body = written(tokens.join(head, ["doc_id", "key"], "left_anti").select("doc_id", "page_no", "form").distinct())
 
@@ -331,11 +351,15 @@ def repairs(chunks: DataFrame, spec: Ocr = Ocr()) -> Repairs:
     seen = forms.join(words.select(F.col("word").alias("form"), "n"), "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
     fixed = written(corrections(seen, words, spec))
 
-    # rank: a word the document uses elsewhere first, then the most frequent
-    used = body.select("doc_id", F.col("form").alias("word")).distinct().withColumn("here", F.lit(1))
-    choice = lambda rows, keys: (
-        rows.join(fixed, "form").join(used, ["doc_id", "word"], "left").groupBy(*keys).agg(F.max_by("word", F.struct(F.coalesce("here", F.lit(0)), "n", "word")).alias("word"))
-    )
+    # rank: a word the document uses elsewhere, running lines included, first, then the most frequent
+    used = tokens.select("doc_id", F.col("form").alias("word")).distinct().withColumn("here", F.lit(1))
+    ones = body.select("doc_id", "form").unionByName(joined.select("doc_id", F.col("one").alias("form"))).distinct()
+    local = written(local_corrections(ones, seen, words, used)).withColumn("here", F.lit(1))
+
+    def choice(rows: DataFrame, keys: list[str]) -> DataFrame:
+        known = rows.join(fixed, "form").join(used, ["doc_id", "word"], "left").unionByName(rows.join(local, ["doc_id", "form"]))
+        return known.groupBy(*keys).agg(F.max_by("word", F.struct(F.coalesce("here", F.lit(0)), "n", "word")).alias("word"))
+
     misread = choice(body, ["doc_id", "page_no", "form"])
     count = lambda c: words.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
     weighed = joined.join(count("one"), "one", "left").join(count("two"), "two", "left").na.fill(0, ["n_one", "n_two"])

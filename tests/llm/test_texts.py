@@ -278,6 +278,17 @@ def test_broken_words_at_the_edges_of_a_page(spark):
     assert {r["page_no"]: r["text"] for r in ocr.reflow(df).where("doc_id = 2").collect()}[1] == "a strange economy"
 
 
+def test_rare_words_of_the_same_document(spark):
+    body = "the strange economy of the municipal archive "
+    rows = [(d, 1, body) for d in range(300, 340)] + [(2, 1, "Kasbach and Holeran"), (3, 1, "Kasbach and Holeran")]
+    rows += [(1, 1, "the strange eco-\nnomy of Kasbach and Toridin"), (1, 2, "the archive\nof Ka5bach and Holeron\nin To-\nriclin"), (4, 1, "the muni-\ncipal archive"), (4, 2, "economy of Vñlen9ard and Vñlengard, Toridin")]
+    df = spark.createDataFrame([(n, *r[:2], 0, len(r[2].encode()), r[2]) for n, r in enumerate(rows)], "chunk_id long, doc_id long, page_no int, char_start int, char_end int, text_utf8 string")
+    documents = spark.createDataFrame([(d, "ok") for d in range(600)], "doc_id long, status string")
+    got = {tuple(r) for r in ocr.found(df, documents).where("doc_id < 10").collect()}
+    assert {g for g in got if g[2] == "misread"} == {(1, 2, "misread", "kasbach"), (1, 2, "misread", "toridin"), (4, 2, "misread", "vñlengard")}
+    assert (1, 2, "hyphen", "toridin") in got
+
+
 def test_stitch():
     text = "é" * 50 + "abc" * 40
     data = text.encode()
