@@ -39,12 +39,14 @@ STATS = (
 class Tails:
     """``z``: robust z-score from which a value lies in the tail; ``floor``: least scale of a share.
 
-    A value is a tail value above the percentile ``rank`` only.
+    A value is a tail value above the percentile ``rank`` only, or if it would be one with the median ``middle`` and the
+    scale ``floor``: a form that many documents of a language have moves its median and scale.
     """
 
     z: float = 5.0
     floor: float = 0.1
     rank: float = 0.5
+    middle: float = 0.0
     k: int = 400
 
 
@@ -291,7 +293,8 @@ def found(documents: DataFrame, spec: Tails = Tails()) -> DataFrame:
     """
     forms = ("list", "table", "junk")
     scored = placed(written(stats(documents)), spec, tuple(f"{f}_share" for f in forms))
-    tail = lambda f: (F.col(f"{f}_share_z") >= spec.z) & (F.col(f"{f}_share_pct") > spec.rank)
+    least = spec.middle + spec.z * spec.floor
+    tail = lambda f: (F.col(f"{f}_share") >= least) | (F.col(f"{f}_share_z") >= spec.z) & (F.col(f"{f}_share_pct") > spec.rank)
     most = F.greatest(*(F.when(tail(f), F.col(f"{f}_share")).otherwise(0.0) for f in forms))
     kind = F.coalesce(*(F.when(tail(f) & (F.col(f"{f}_share") == most), f) for f in forms))
     return scored.where((F.col("status") == "ok") & (F.col("n_lines") > 1)).select("doc_id", kind.alias("kind")).where("kind IS NOT NULL")

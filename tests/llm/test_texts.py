@@ -207,6 +207,13 @@ def test_statistics(spark):
     assert quality.found(df.limit(0)).count() == 0
 
 
+def test_forms_that_are_frequent_in_a_language(spark):
+    rows = [(n, "de", TABLE if n % 3 == 0 else PROSE, "ok") for n in range(30)] + [(100, "fr", LIST, "ok"), (101, "es", PROSE, "ok")] + [(200 + n, None, JUNK if n else PROSE, "ok") for n in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, status string")
+    got = {r["doc_id"]: r["kind"] for r in quality.found(df).collect()}
+    assert got == {n: "table" for n in range(0, 30, 3)} | {100: "list", 201: "junk", 202: "junk", 203: "junk"}
+
+
 def test_statistics_do_not_depend_on_the_batch():
     texts = [PROSE, "", LIST, "x", TABLE, JUNK, "a\n\nb", " ", "é" * 1000]
     one = {k: [float(quality.doc_stats(*cp.to_codes(pa.array([t])))[k][0]) for t in texts] for k in quality.STATS}
