@@ -22,46 +22,51 @@ ONE_TO_ONE = {
 }
 
 
+# Cyrillic and Greek letters, in alphabetical order.
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяѐёђѓєѕіїјљњћќѝўџґ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia e e dj g ie dz i yi j lj nj ts k i u dz g".split()))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρςστυφχψω", "a b g d e z e th i k l m n x o p r s s t y f kh ps o".split()))
+
+
 @cache
 def _tables() -> tuple[dict[str, str], dict[str, str]]:
     """(one character to one, one character to several), from the Unicode decompositions and the fixed values."""
-    one, several = dict(ONE_TO_ONE), dict(SPELLED)
-    for c in (*range(0x80, 0x590), *range(0x1E00, 0x2070), *range(0x2070, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF70), 0x3000):
+    scripts = CYRILLIC | GREEK
+    scripts |= {c.upper(): to.capitalize() for c, to in scripts.items() if len(c.upper()) == 1}
+    spelled = SPELLED | ONE_TO_ONE | scripts
+    for c in (*range(0x80, 0x590), *range(0x1E00, 0x2070), *range(0x2070, 0x2300), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF70), 0x3000, 0xFEFF):
         ch = chr(c)
-        if ch in one or ch in several or unicodedata.category(ch) == "Cn":
+        if ch in spelled or unicodedata.category(ch) == "Cn":
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        plain = "".join(scripts.get(x, x) for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
         if unicodedata.combining(ch) or unicodedata.category(ch) == "Cf":
             plain = ""
         elif unicodedata.category(ch) == "Cc":
             plain = " "
-        if not plain.isascii():
-            continue
-        if len(plain) == 1:
-            one[ch] = plain
-        elif plain == "" or len(plain) <= 3:
-            several[ch] = plain
-    return one, several
-
-
-#: What stands for a character that has no ASCII spelling.
-UNKNOWN = "[?]"
+        if plain.isascii():
+            spelled[ch] = plain
+    return {c: to for c, to in spelled.items() if len(to) == 1}, {c: to for c, to in spelled.items() if len(to) != 1}
 
 
 def transliterate(text: str) -> str:
-    """ASCII spelling on the driver; the same as :func:`transliterate_column`."""
+    """ASCII spelling on the driver; the same as :func:`transliterate_column`. A character without a spelling becomes
+    ``u`` and its number, so different ones stay different."""
     one, several = _tables()
-    return "".join(c if c.isascii() else one.get(c, several.get(c, UNKNOWN)) for c in text)
+    return "".join(c if c.isascii() else one.get(c, several.get(c, f"u{ord(c):x}")) for c in text)
 
 
 def transliterate_column(text: Column) -> Column:
-    """ASCII spelling without leaving the JVM: one table lookup, then replacements for longer spellings."""
+    """ASCII spelling without leaving the JVM: one table lookup, then replacements for usual longer spellings; then, in
+    texts that still have other characters, a spelling or number for each of them. Texts in ASCII take none of the steps."""
     one, several = _tables()
-    text = F.translate(text, "".join(one) + "".join(c for c, to in several.items() if to == ""), "".join(one.values()))
-    for c, to in several.items():
-        if to:
-            text = F.replace(text, F.lit(c), F.lit(to))
-    return F.regexp_replace(text, r"[^\x00-\x7f]", r"[?]")
+    other = r"[^\x00-\x7f]"
+    known = F.translate(text, "".join(one) + "".join(c for c, to in several.items() if to == ""), "".join(one.values()))
+    for c, to in SPELLED.items():
+        known = F.replace(known, F.lit(c), F.lit(to))
+    spelling = F.create_map(*(F.lit(x) for c, to in several.items() if to and c not in SPELLED for x in (c, to)))
+    number = lambda c: F.concat(F.lit("u"), F.lower(F.hex(F.ascii(c))))
+    each = lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.element_at(spelling, c), number(c)))
+    rest = lambda k: F.when(k.rlike(other), F.array_join(F.transform(F.split(k, ""), each), "")).otherwise(k)
+    return F.when(text.rlike(other), F.transform(F.array(known), rest)[0]).otherwise(text)
 
 
 def normalize_column(text: Column) -> Column:

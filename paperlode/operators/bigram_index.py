@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codepoints as cp
-from ..plans.pattern import And, Any, Or, Pair, Probes, Query
+from ..plans.grams import And, Any, Or, Pair, Probes, Query, pairs_of
 
 # The density rules.
 RARE, SKIP_PERCENT, UBIQUITOUS_TENTHS = 2, 12, 9
@@ -82,16 +82,9 @@ def has_pair(pair: Pair, text: Column) -> Column:
     return text.rlike(f"(?s){re.escape(a)}.{re.escape(b)}") if pair.skip else text.contains(a + b)
 
 
-def literal_pairs(needle: str) -> list[Pair]:
-    """Pairs of a normalised needle, next to each other and one apart."""
-    data = needle.encode()
-    found = [(a, b, False) for a, b in zip(data, data[1:])] + [(a, b, True) for a, b in zip(data, data[2:])]
-    return list(dict.fromkeys(Pair(ord(chr(a).lower()), ord(chr(b).lower()), s) for a, b, s in found if 32 <= a <= 126 and 32 <= b <= 126))
-
-
 def literal_candidates(index: BigramIndex, needle: str, text: Column) -> Column | None:
     """Every tracked pair of the needle is there; None if none is tracked."""
-    known = [p for p in literal_pairs(needle) if index.knows(p)]
+    known = [p for p in pairs_of(needle) if index.knows(p)]
     out = None
     for p in known:
         out = has_pair(p, text) if out is None else out & has_pair(p, text)

@@ -11,7 +11,7 @@ from ..functions.text import normalize_query
 from ..operators import bigram_index as bi
 from ..schema import FUZZY_PROBES
 from ..session import table
-from . import pattern, search
+from . import grams, search
 from . import sqltext as sx
 from .corpus import active_items
 
@@ -67,7 +67,7 @@ def literal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that pass the bigram test of the pattern."""
     s = snapshot(spark, sf_dir, index=True)
-    test = bi.evaluate(s.index, pattern.regex_query(PATTERN), F.col("text_norm_ascii"))
+    test = bi.evaluate(s.index, grams.regex_query(PATTERN), F.col("text_norm_ascii"))
     rows = s.live() if test is None else s.live().where(test)
     return s.once(rows).select("chunk_id", "doc_id")
 
@@ -75,7 +75,7 @@ def regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold enough probes of a query with a typo."""
     s = snapshot(spark, sf_dir, index=True)
-    test = bi.fuzzy_candidates(s.index, pattern.fuzzy_probes(normalize_query(TYPO), FUZZY_PROBES), F.col("text_norm_ascii"))
+    test = bi.fuzzy_candidates(s.index, grams.fuzzy_probes(normalize_query(TYPO), FUZZY_PROBES), F.col("text_norm_ascii"))
     rows = s.live() if test is None else s.live().where(test)
     return s.once(rows).select("chunk_id", "doc_id")
 
@@ -129,17 +129,28 @@ tracked AS (SELECT skip, key, df FROM freq, size WHERE NOT 10 * df >= 9 * popula
 """
 
 
-def _pairs_sql(pairs: list[pattern.Pair]) -> str:
+def _pairs_sql(pairs: list[grams.Pair]) -> str:
     return ", ".join(f"({str(p.skip).lower()}, {p.a * 256 + p.b})" for p in pairs)
 
 
 def _literal_sql() -> str:
-    pairs = _pairs_sql(bi.literal_pairs(PHRASE))
+    pairs = _pairs_sql(grams.pairs_of(PHRASE))
     return f"WITH {sx.ITEMS}, {_GRAMS}, wanted AS (SELECT t.skip, t.key FROM tracked t JOIN (VALUES {pairs}) w(skip, key) ON t.skip = w.skip AND t.key = w.key) SELECT chunk_id, doc_id FROM items i WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM grams g WHERE g.chunk_id = i.chunk_id AND g.skip = w.skip AND g.key = w.key))"
 
 
+def _regex_sql() -> str:
+    def test(q: grams.Query) -> str:
+        """An untracked pair says nothing, which in a condition without negation is the same as true."""
+        if isinstance(q, grams.Pair):
+            key = f"skip = {str(q.skip).lower()} AND key = {q.a * 256 + q.b}"
+            return f"(NOT EXISTS (SELECT 1 FROM tracked WHERE {key}) OR i.chunk_id IN (SELECT chunk_id FROM grams WHERE {key}))"
+        return "(" + (" AND " if isinstance(q, grams.And) else " OR ").join(sorted(test(x) for x in q.of)) + ")" if not isinstance(q, grams.Any) else "true"
+
+    return f"WITH {sx.ITEMS}, {_GRAMS} SELECT chunk_id, doc_id FROM items i WHERE {test(grams.regex_query(PATTERN))}"
+
+
 def _fuzzy_sql() -> str:
-    probes = pattern.fuzzy_probes(TYPO, FUZZY_PROBES)
+    probes = grams.fuzzy_probes(TYPO, FUZZY_PROBES)
     rows = ", ".join(f"({n}, {p.a * 256 + p.b})" for n, p in enumerate(probes.keys))
     return f"WITH {sx.ITEMS}, {_GRAMS}, probe AS (SELECT n, p.key, t.key IS NOT NULL AS known FROM (VALUES {rows}) p(n, key) LEFT JOIN tracked t ON NOT t.skip AND t.key = p.key), hit AS (SELECT g.chunk_id, count(*) AS n FROM grams g JOIN probe p ON NOT g.skip AND g.key = p.key AND p.known GROUP BY g.chunk_id) SELECT i.chunk_id, i.doc_id FROM items i LEFT JOIN hit h ON h.chunk_id = i.chunk_id WHERE coalesce(h.n, 0) + (SELECT count(*) FROM probe WHERE NOT known) >= {probes.need}"
 
@@ -155,6 +166,7 @@ SQL = {
     "bigram_document_frequency": f"WITH {sx.ITEMS}, {_GRAMS} SELECT skip, key, df FROM freq",
     "bigram_tracked_columns": f"WITH {sx.ITEMS}, {_GRAMS} SELECT skip, key, df FROM tracked",
     "literal_candidates": _literal_sql(),
+    "regex_candidates": _regex_sql(),
     "fuzzy_candidates": _fuzzy_sql(),
     "fuzzy_filename_band": f"WITH {sx.ITEMS}, named AS (SELECT *, {sx.normalize('filename')} AS n FROM items), firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_ord, chunk_id) AS k FROM named WHERE contains(n, '{NAME}')), best AS (SELECT doc_id, chunk_id, filename, row_number() OVER (ORDER BY strpos(n, '{NAME}'), strlen(n), doc_id)::INTEGER AS rank FROM firsts WHERE k = 1) SELECT * FROM best WHERE rank <= {LIMIT}",
     "fuzzy_body_cheap": f"WITH {sx.ITEMS}, found AS (SELECT * FROM items WHERE contains(text_norm_ascii, {_Q}) AND NOT ({' AND '.join(f'contains({sx.normalize("filename")}, {sx.literal(t)})' for t in _TERMS)})), numbered AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY doc_id, chunk_ord, chunk_id)::INTEGER AS rank FROM found) SELECT * FROM numbered WHERE rank <= {LIMIT}",

@@ -18,7 +18,7 @@ from ..functions.text import filename_column, normalize_column, normalize_query
 from ..operators import bigram_index as bi
 from ..operators.overlay import Overlay, base_order
 from ..schema import DEFAULT_LIMIT, FUZZY_PROBES, FUZZY_SCORED_LIMIT, HITS, ITEM_COLUMNS
-from . import pattern
+from . import grams, pattern
 
 MODES = ("literal", "regex", "fuzzy")
 
@@ -90,7 +90,7 @@ def regex_matches(snapshot: Snapshot, query: str, prefilter: bool = False) -> Da
     _, java = pattern.parse(query)
     text = F.col("text_utf8")
     rows = snapshot.live()
-    if prefilter and snapshot.index is not None and (test := bi.evaluate(snapshot.index, pattern.sound_query(query), F.col("text_norm_ascii"))) is not None:
+    if prefilter and snapshot.index is not None and (test := bi.evaluate(snapshot.index, grams.regex_query(query), F.col("text_norm_ascii"))) is not None:
         rows = rows.where((F.col("_src") == 1) | test)
     rows = snapshot.once(rows.where(text.rlike(java)))
     at = F.regexp_instr(text, F.lit(java))
@@ -136,7 +136,7 @@ def body_candidates(snapshot: Snapshot, needle: str) -> DataFrame:
     """Live items a fuzzy search looks at: probes for the base, all of the overflow, without name-matched documents."""
     rows = snapshot.live()
     if snapshot.index is not None:
-        test = bi.fuzzy_candidates(snapshot.index, pattern.fuzzy_probes(needle, FUZZY_PROBES), F.col("text_norm_ascii"))
+        test = bi.fuzzy_candidates(snapshot.index, grams.fuzzy_probes(needle, FUZZY_PROBES), F.col("text_norm_ascii"))
         if test is not None:
             rows = rows.where((F.col("_src") == 1) | test)
     return snapshot.once(rows.join(filename_documents(snapshot, needle).select("doc_id"), "doc_id", "left_anti"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.text import _tables
 from ..schema import PREVIEW_BYTES, SNIPPET_BYTES, WINDOW_CHARS, WINDOW_STEP
 
 
@@ -10,13 +9,32 @@ def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# ASCII spellings, written out here so that the second engine's answer doesn't rest on the tables it checks.
+_LATIN = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "ð": "d", "Ð": "D", "Đ": "D", "ⁿ": "n", "þ": "th", "ı": "i", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ª": "a", "º": "o"}
+_SIGNS = {
+    "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "«": "<<", "»": ">>", "‹": "<", "›": ">", "–": "-", "—": "--", "‐": "-", "‑": "-", "−": "-", "…": "...", "•": "*", "·": "*", "×": "x", "÷": "/", "¡": "!", "¿": "?",
+    "°": "d", "€": "EUR", "™": "tm", "©": "(c)", "®": "(r)", "½": "1/2", "¼": "1/4", "¾": "3/4", "²": "2", "³": "3", "¹": "1", "\u00ad": "", "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u200e": "",
+    "¨": " ", "¯": " ", "´": " ", "¸": " ", "˜": " ", "ˆ": "u2c6", "µ": "m", "ƒ": "u192", "\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u2003": " ", "\u2002": " ", "\u3000": " ",
+    "˘": " ", "˙": " ", "˚": " ", "˝": " ", "˛": " ", **{chr(c): " " for c in (*range(0x80, 0xA0), *range(0x2000, 0x200B))},
+}
+_CYRILLIC = dict(zip("абвгдежзиклмнопрстуфхцчшщъыьэюяѕіјљњђћџєґ", ("a", "b", "v", "g", "d", "e", "zh", "z", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "kh", "ts", "ch", "sh", "shch", "'", "y", "'", "e", "iu", "ia", "dz", "i", "j", "lj", "nj", "dj", "k", "dz", "e", "g")))
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", ("a", "b", "g", "d", "e", "z", "e", "th", "i", "k", "l", "m", "n", "x", "o", "p", "r", "s", "t", "y", "f", "kh", "ps", "o")))
+
+
 def normalize(x: str) -> str:
-    one, several = _tables()
-    for c, to in several.items():
-        if to:
+    """Spelled by the fixed values, full-width forms by their distance, accents by the engine; numbers for the rest."""
+    scripts = _CYRILLIC | _GREEK
+    spelled = _LATIN | _SIGNS | scripts | {c.upper(): to.capitalize() for c, to in scripts.items()} | {chr(c + 0xFEE0): chr(c) for c in range(33, 127)}
+    one = {c: to for c, to in spelled.items() if len(to) < 2}
+    first = sorted(one, key=lambda c: not one[c])  # those that go away stand last
+    x = f"translate({x}, {literal(''.join(first))}, {literal(''.join(one.values()))})"
+    for c, to in spelled.items():
+        if len(to) > 1 and not to.startswith("u2") and not to.startswith("u1"):
             x = f"replace({x}, {literal(c)}, {literal(to)})"
-    x = f"translate({x}, {literal(''.join(one) + ''.join(c for c, to in several.items() if not to))}, {literal(''.join(one.values()))})"
-    return rf"trim(regexp_replace(lower(regexp_replace({x}, '[^\x00-\x7f]', '[?]', 'g')), '[\x00-\x20]+', ' ', 'g'), ' ')"
+    x = f"translate(strip_accents({x}), {literal(''.join(c for c in first if one[c]))}, {literal(''.join(one[c] for c in first if one[c]))})"
+    each = "list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE 'u' || lower(hex(ord(c))) END)"
+    x = f"(CASE WHEN regexp_matches({x}, '[^\\x00-\\x7f]') THEN array_to_string({each.format(x)}, '') ELSE {x} END)"
+    return rf"trim(regexp_replace(lower({x}), '[\x00-\x20]+', ' ', 'g'), ' ')"
 
 
 def display(x: str) -> str:

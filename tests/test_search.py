@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperlode.functions.text import normalize_column, normalize_query
 from paperlode.operators import bigram_index as bi
 from paperlode.operators.overlay import Overlay
-from paperlode.plans import pattern, search
+from paperlode.plans import grams, pattern, search
 
 ITEMS = "chunk_id long, doc_id long, path string, filename string, page_no int, chunk_ord int, text_utf8 string, text_norm_ascii string, preview string, doc_mtime_ns long"
 
@@ -136,7 +136,7 @@ def test_density_rules(spark):
     rows = [(n, "ab" if n < 100 else "cd" if n < 200 else "zz") for n in range(201)]
     items = spark.createDataFrame(rows, "chunk_id long, text_norm_ascii string")
     index = bi.BigramIndex.build(items)
-    P = lambda x: pattern.Pair(ord(x[0]), ord(x[1]))  # noqa: E731, N806
+    P = lambda x: grams.Pair(ord(x[0]), ord(x[1]))  # noqa: E731, N806
     assert index.knows(P("ab")) and index.knows(P("cd")) and not index.knows(P("zz"))
     assert bi.literal_candidates(index, "zz", F.col("x")) is None and bi.literal_candidates(index, "a", F.col("x")) is None
     everywhere = spark.createDataFrame([(n, "ab" + ("cd" if n % 2 else "")) for n in range(200)], "chunk_id long, text_norm_ascii string")

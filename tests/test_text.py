@@ -11,9 +11,12 @@ from paperlode.functions.score import scores
 from paperlode.operators import diff
 from paperlode.operators.components import components
 from paperlode.operators.pairs import key_pairs
-from paperlode.plans import pattern
+from paperlode.plans import grams, pattern
 
-NORMAL = [("Hello   WORLD", "hello world"), ("a\nb\n\nc", "a b c"), ("  foo  ", "foo"), ("café", "cafe"), ("", ""), ("Straße ŒUVRE", "strasse oeuvre"), ("x\x00\x1fy\x7f", "x y\x7f"), ("ﬁne １２", "fine 12"), ("北", "[?]"), ("a​b", "ab")]
+NORMAL = [
+    ("Der  GROSSE\tKlang", "der grosse klang"), ("Zeile\n\nZeile", "zeile zeile"), ("\u00a0 am Rand \n", "am rand"), ("Ångström à l’été", "angstrom a l'ete"), ("", ""), ("Füße, cœur, Þór", "fusse, coeur, thor"),
+    ("v\x00\x1fw\x7f", "v w\x7f"), ("ﬂach ３７", "flach 37"), ("Москва", "moskva"), ("Щука и ёж", "shchuka i ezh"), ("Αθήνα", "athena"), ("東京", "u6771u4eac"), ("京", "u4eac"), ("le\u200bnt", "lent"), ("😀", "u1f600"),
+]
 
 
 def test_normalize_both_ways(spark):
@@ -52,31 +55,77 @@ def test_preview(spark):
     assert [r["preview"] for r in tx.with_preview(df).collect()] == ["é" * 100, "a b c", "x" * 199, None]
 
 
-# Patterns in common use, with pairs their decomposition must have.
-@pytest.mark.parametrize(("regex", "near", "apart"), [
-    (r"fn\s+\w+", ["fn", "n "], []), (r"use\s+crate::", ["us", "se", "cr", "ra", "at", "te", "::"], ["ue", "ca", "rt", "ae"]), (r"unwrap\(\)|expect\(", ["nw", "wr", "ra", "ap", "p(", "xp", "pe", "ec", "ct", "t("], []),
-    ("TODO|FIXME|HACK", ["to", "od", "do", "fi", "ix", "xm", "me", "ha", "ac", "ck"], ["hc", "ak"]), ("foo.bar", ["fo", "oo", "ba", "ar"], ["ob"]), ("ab{2}c", ["ab", "bb", "bc"], []), ("(?:ab)+", ["ab"], []),
-])
-def test_decomposition(regex, near, apart):
-    found = pattern.pairs_in(pattern.regex_query(regex))
-    for p, skip in [(x, False) for x in near] + [(x, True) for x in apart]:
-        assert pattern.Pair(ord(p[0]), ord(p[1]), skip) in found
+#: Patterns with all their matches, up to a few repetitions, over an alphabet that covers them.
+SMALL = ["tinte", "tin(te)?", "(ab|cde)f", "a[bc]{2}d", "(xy)+z", "ab*c", "(a|b)(c|d)(e|f)", "k{3}", "(ab){2,3}", "a.c", "a b", "(a|)b c", "q[^r]s", "ab??c", "(?:x|yz)(?:)w", "[a-e&&[cx]]d", "[ab--b]c", "[ab~~bc]d"]
+
+
+def _strings(node, alphabet):
+    """Every string a tree matches, repeated at most once more than it must be."""
+    from itertools import product
+
+    if node.kind in ("look", "empty"):
+        return {""}
+    if node.kind == "literal":
+        return {node.data.decode()}
+    if node.kind == "class":
+        return {c for c in alphabet if ord(c) in node.members}
+    inner = [_strings(p, alphabet) for p in node.parts]
+    if node.kind == "alternation":
+        return set().union(*inner)
+    if node.kind == "repeat":
+        high = node.low + 2 if node.high is None else node.high
+        return {"".join(x) for n in range(node.low, high + 1) for x in product(inner[0], repeat=n)}
+    return {"".join(x) for x in product(*inner)}
+
+
+def _true(query, text):
+    if isinstance(query, grams.Pair):
+        n = 1 + query.skip
+        return any(ord(a) == query.a and ord(b) == query.b for a, b in zip(text, text[n:]))
+    return isinstance(query, grams.Any) or (all if isinstance(query, grams.And) else any)(_true(q, text) for q in query.of)
+
+
+@pytest.mark.parametrize("regex", SMALL)
+def test_every_match_holds_the_pairs(regex):
+    tree, query = pattern.parse(regex)[0], grams.regex_query(regex)
+    found = _strings(tree, "abcdefqrstxyz k")
+    assert found
+    for s in found:
+        for around in (s, "m" + s, " " + s + "  n"):  # what stands around a match can be anything
+            assert _true(query, tx.normalize_query(around)), (s, query)
 
 
-@pytest.mark.parametrize("regex", [r"^\d+$", "^[a-zA-Z0-9]*$", "^[a-z0-9_-]{3,16}$", "a|b", "x?", ".*", "a|", "[broken"])
+@pytest.mark.parametrize(("regex", "common"), [("tinte", ["ti", "in", "nt", "te"]), ("(tin|gin)te", ["in", "nt", "te"]), ("(ab|cb)+", []), ("k{3}", ["kk"]), (r"lager\s+\d+ kisten", ["la", "ag", "ge", "er", "ki", "is", "st", "te", "en"])])
+def test_pairs_common_to_all_matches_are_stated(regex, common):
+    query = grams.regex_query(regex)
+    for p in common:
+        assert grams.Pair(ord(p[0]), ord(p[1])) in grams.pairs_in(query)
+
+
+def test_alternatives_are_a_disjunction():
+    query = grams.regex_query("(nord|ost)wind")
+    assert _true(query, "der nordwind") and _true(query, "ein ostwind") and not _true(query, "der westwind") and not _true(query, "nord und wind")
+
+
+@pytest.mark.parametrize("regex", [r"\d\d", "[a-z]+", "ü.ö", "m|n", "v?", ".*", "w|", "[offen", "y(.*a)", r"ß \d"])
 def test_no_statement(regex):
-    assert pattern.regex_query(regex) == pattern.Any()
+    assert grams.regex_query(regex) == grams.Any()
 
 
-def test_probes():
-    assert pattern.fuzzy_probes("") is None and pattern.fuzzy_probes("a") is None and pattern.fuzzy_probes("\x01\x02\x03") is None
-    assert pattern.fuzzy_probes("ab").need == 1 and len(pattern.fuzzy_probes("quickb").keys) == 5 and pattern.fuzzy_probes("quickb").need == 3
-    assert len(pattern.fuzzy_probes("x" * 30).keys) == 6
+@pytest.mark.parametrize(("regex", "text", "matched"), [
+    ("(?m)^tafel$", "vor\ntafel\nnach", "tafel"), ("^tafel$", "vor\ntafel\nnach", None), ("(?m)^$", "a\n", ""), ("(?x) ta fel # zwei\n 1", "Tafel1", "Tafel1"), ("(?x)[t u] \\x20?a", "ta", "ta"), ("(?U)a+", "aaa", "a"), ("(?U)a+?", "aaa", "aaa"),
+    ("(?-i)Tafel", "tafel Tafel", "Tafel"), ("((?-i)A)b", "AB", "AB"), ("(?s)a.b", "a\nb", "a\nb"), ("[a-f&&[^bd]]+", "bdace", "ace"), ("[a-f--[bd]]+", "bdace", "ace"), ("[ab~~bc]+", "bac", "ac"), ("[^a-f--[bd]]+", "acbdx", "bdx"), ("[[:alpha:]]+", "éab", "ab"), ("(?m:^b)|c$", "a\nb", "b"),
+])
+def test_flags_and_class_arithmetic(spark, regex, text, matched):
+    java = pattern.parse(regex)[1]
+    row = spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(java).alias("hit"), F.coalesce(F.regexp_substr("t", F.lit(java)), F.lit("")).alias("m")).first()
+    assert (row["m"] if row["hit"] else None) == matched
 
 
-def test_sound_query_keeps_only_sure_pairs():
-    assert pattern.sound_query("x(.*a)") == pattern.Any() and pattern.sound_query(r"ß \d+") == pattern.Any()
-    assert pattern.pairs_in(pattern.sound_query("ab c")) == {pattern.Pair(97, 98)}
+def test_probes():
+    assert grams.fuzzy_probes("") is None and grams.fuzzy_probes("a") is None and grams.fuzzy_probes("\x01\x02\x03") is None
+    assert grams.fuzzy_probes("ab").need == 1 and len(grams.fuzzy_probes("quickb").keys) == 5 and grams.fuzzy_probes("quickb").need == 3
+    assert len(grams.fuzzy_probes("x" * 30).keys) == 6
 
 
 @pytest.mark.parametrize(("text", "query", "matched"), [("HeLLo WoRLd", "hello", ["HeLLo"]), ("a foo bar b", "foo bar", ["foo bar"]), ("bar foo", "foo bar", ["bar", "foo"]), ("STRAẞE", "stra", ["STRA"]), ("İstanbul", "istanbul", []), ("anything", "", []), ("", "x", [])])
