@@ -2,8 +2,10 @@
 
 Statistics come from a whole Arrow batch at once (code points, lines, words and cells as flat arrays). Their
 distributions are KLL sketches per language: built map-side, merged in one small shuffle, so every document
-counts whatever its language's share. Values become percentiles and robust z-scores against the sketch of the
-document's language; the upper tails of the line-form shares tell lists, tables and junk from prose.
+counts whatever its language's share. Values become percentiles against the sketch of all documents of the language,
+and robust z-scores against that of its documents with mostly running text, so that a form can't hide itself by being
+frequent. A document is a list, a table or junk if the share of its text in such lines lies in the upper tail of that
+distribution and another statistic lies in a tail too; how far out that is, the sketches say.
 """
 
 from __future__ import annotations
@@ -28,26 +30,28 @@ COMMON = (
     "el los las y del se por con una su para es al lo como más o pero sus sin sobre"
 ).split()
 
-#: The statistics, in column order; the last three are shares of characters in lines of one form.
+#: The statistics, in column order; the last four are shares of characters in lines of one form, and of all three.
 STATS = (
     "n_chars", "n_lines", "n_words", "mean_word", "symbol_share", "digit_share", "upper_share", "punct_line_share",
-    "common_share", "words_per_line", "short_word_share", "distinct_share", "list_share", "table_share", "junk_share",
+    "common_share", "words_per_line", "short_word_share", "distinct_share", "list_share", "table_share", "junk_share", "odd_share",
 )
 
 
+#: Statistics that tell whether a text reads like the others, besides the forms of its lines.
+MANNER = ("symbol_share", "digit_share", "upper_share", "punct_line_share", "common_share", "words_per_line", "short_word_share", "mean_word")
+
+
 @dataclass(frozen=True)
 class Tails:
-    """``z``: robust z-score from which a value lies in the tail; ``floor``: least scale of a share.
-
-    A value is a tail value above the percentile ``rank`` only, or if it would be one with the median ``middle`` and the
-    scale ``floor``: a form that many documents of a language have moves its median and scale.
-    """
+    """``z``: z-score of the share of odd lines from which it lies in the tail; ``other``: that of another statistic, at
+    either end; ``least``: documents a language must have for a distribution of its own, below which that of all languages
+    together stands for it; ``k``: size of a sketch (1600: ranks within 0.2 %)."""
 
     z: float = 5.0
-    floor: float = 0.1
-    rank: float = 0.5
-    middle: float = 0.0
-    k: int = 400
+    other: float = 3.0
+    floor: float = 0.02
+    least: int = 200
+    k: int = 1600
 
 
 #: Exclusive classes of characters; see :func:`classes`.
@@ -236,6 +240,7 @@ def doc_stats(codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["words_per_line"] = _share(words, lines)
     for name in ("list", "table", "junk"):
         out[f"{name}_share"] = _share(add(form["size"] * form[name]), size)
+        out["odd_share"] += out[f"{name}_share"]
     return out
 
 
@@ -259,42 +264,76 @@ def stats(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, language string, status string, " + ", ".join(f"{s} double" for s in STATS))
 
 
-def sketches(measured: DataFrame, spec: Tails = Tails()) -> DataFrame:
-    """(language, one KLL sketch per statistic); mergeable by ``kll_merge_agg_double`` with those of other runs."""
-    return measured.groupBy("language").agg(*(F.kll_sketch_agg_double(s, F.lit(spec.k)).alias(s) for s in STATS))
+def _sketches(rows: DataFrame, of: tuple[str, ...], spec: Tails) -> DataFrame:
+    return rows.groupBy("language").agg(*(F.kll_sketch_agg_double(s, F.lit(spec.k)).alias(s) for s in of), F.count(F.lit(1)).alias("n"))
+
+
+def sketches(measured: DataFrame, of: tuple[str, ...] = STATS, spec: Tails = Tails()) -> DataFrame:
+    """(language, n, one KLL sketch per statistic) of all documents; mergeable by ``kll_merge_agg_double`` with those of other runs."""
+    return _sketches(measured, of, spec)
+
+
+def reference(measured: DataFrame, of: tuple[str, ...], spec: Tails = Tails()) -> DataFrame:
+    """(language, ``_<stat>``: quantiles 0.01, 0.5 and 0.99) of documents of two lines and more whose running text outweighs the rest.
+
+    A language with fewer than ``spec.least`` of them takes the merged sketches of all languages; so does, as
+    language null, any language without one. At most 678 rows.
+    """
+    own = written(_sketches(measured.where("n_lines > 1 AND odd_share < 0.5"), of, spec))
+    every = own.agg(*(F.kll_merge_agg_double(s, F.lit(spec.k)).alias(s) for s in of), F.count(F.lit(1)).alias("n")).where("n > 0").withColumn("language", F.lit(None).cast("string"))
+    marks = F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))
+    rows = own.where(F.col("n") >= spec.least).unionByName(every)
+    return rows.select("language", *(F.kll_sketch_get_quantile_double(s, marks).alias(f"_{s}") for s in of))
+
+
+#: 99 of 100 values of a normal distribution lie below so many standard deviations.
+_AT_99 = 2.326
+
+
+def scored(measured: DataFrame, of: tuple[str, ...], spec: Tails = Tails()) -> DataFrame:
+    """``measured`` with ``<stat>_z``: distance from the reference's median, in units of its spread on that side (the
+    distance of its outer percentile over 2.326); all null where no document has running text."""
+    own = F.broadcast(reference(measured, of, spec))
+    marks = own.where("language IS NOT NULL")
+    common = own.where("language IS NULL").select(*(F.col(f"_{s}").alias(f"_all_{s}") for s in of))
+    joined = measured.join(F.broadcast(marks), "language", "left").join(F.broadcast(common), F.lit(True), "left")  # one row at most
+
+    def z(s: str) -> Column:
+        q = F.coalesce(F.col(f"_{s}"), F.col(f"_all_{s}"))
+        apart = F.col(s) - q[1]
+        scale = F.when(apart < 0, q[1] - q[0]).otherwise(q[2] - q[1]) / F.lit(_AT_99)
+        floor = F.lit(spec.floor) if s.endswith("share") else F.greatest(F.abs(q[1]) * F.lit(spec.floor), F.lit(1e-9))
+        return F.when(apart == 0, 0.0).otherwise(apart / F.greatest(scale, floor))
+
+    return joined.select(*measured.columns, *(z(s).alias(f"{s}_z") for s in of))
 
 
 def placed(measured: DataFrame, spec: Tails = Tails(), of: tuple[str, ...] = STATS) -> DataFrame:
-    """``measured`` with ``<stat>_pct`` (percentile, to the hundredth) and ``<stat>_z`` (robust z-score) within its language.
+    """``measured`` with ``<stat>_pct`` (percentile among all documents of the language, to the hundredth) and ``<stat>_z``.
 
     The rows joined hold 101 quantiles of each statistic for each language code: at most 677 rows, whatever the
     number of documents.
     """
     grid = F.array(*(F.lit(i / 100) for i in range(101)))
-    held = sketches(measured, spec)
-    marks = held.select("language", *(F.kll_sketch_get_quantile_double(F.col(s), grid).alias(f"_{s}") for s in of))
-    joined = measured.join(F.broadcast(marks), "language")
+    marks = sketches(measured, of, spec).select("language", *(F.kll_sketch_get_quantile_double(F.col(s), grid).alias(f"_{s}") for s in of))
 
     def rank(s: str) -> Column:
         return F.greatest(F.size(F.filter(f"_{s}", lambda x: x < F.col(s))) - 1, F.lit(0)) / F.lit(100.0)
 
-    def z(s: str) -> Column:
-        low, mid, high = (F.col(f"_{s}")[i] for i in (25, 50, 75))
-        least = F.lit(spec.floor) if s.endswith("share") else F.greatest(F.abs(mid) * F.lit(spec.floor), F.lit(1e-9))
-        return (F.col(s) - mid) / F.greatest((high - low) / F.lit(1.349), least)
-
-    return joined.select(*measured.columns, *(rank(s).alias(f"{s}_pct") for s in of), *(z(s).alias(f"{s}_z") for s in of))
+    rows = scored(measured, of, spec)
+    return rows.join(F.broadcast(marks), "language").select(*rows.columns, *(rank(s).alias(f"{s}_pct") for s in of))
 
 
 def found(documents: DataFrame, spec: Tails = Tails()) -> DataFrame:
-    """(doc_id, kind) of documents with status ok in the tail of a form; the form with most of the text names it.
+    """(doc_id, kind) of documents with status ok in the tails; the form with most of the text names it.
 
-    Every document with a text counts in the distributions. Single-line documents aren't cases.
+    Every document with a text counts in the distributions. Single-line documents aren't cases. Where no document has
+    running text there is no distribution, and more than half of the text in odd lines decides.
     """
     forms = ("list", "table", "junk")
-    scored = placed(written(stats(documents)), spec, tuple(f"{f}_share" for f in forms))
-    least = spec.middle + spec.z * spec.floor
-    tail = lambda f: (F.col(f"{f}_share") >= least) | (F.col(f"{f}_share_z") >= spec.z) & (F.col(f"{f}_share_pct") > spec.rank)
-    most = F.greatest(*(F.when(tail(f), F.col(f"{f}_share")).otherwise(0.0) for f in forms))
-    kind = F.coalesce(*(F.when(tail(f) & (F.col(f"{f}_share") == most), f) for f in forms))
-    return scored.where((F.col("status") == "ok") & (F.col("n_lines") > 1)).select("doc_id", kind.alias("kind")).where("kind IS NOT NULL")
+    rows = scored(written(stats(documents)), ("odd_share", *MANNER), spec)
+    strange = F.greatest(*(F.abs(f"{s}_z") for s in MANNER)) >= spec.other
+    tail = F.coalesce((F.col("odd_share_z") >= spec.z) & strange, F.col("odd_share") > 0.5)
+    most = F.greatest(*(F.col(f"{f}_share") for f in forms))
+    kind = F.coalesce(*(F.when(F.col(f"{f}_share") == most, f) for f in forms))
+    return rows.where((F.col("status") == "ok") & (F.col("n_lines") > 1) & tail & (most > 0)).select("doc_id", kind.alias("kind"))

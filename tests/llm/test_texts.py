@@ -203,7 +203,7 @@ def test_statistics(spark):
     placed = {r["doc_id"]: r for r in quality.placed(quality.stats(df)).collect()}
     assert set(placed) == {r[0] for r in rows if r[2] is not None} and placed[100]["language"] == "en" and placed[106]["language"] == "und"
     assert placed[106]["n_words"] == 0 and placed[0]["n_words"] == len(PROSE.split()) * 3 and 0 <= placed[0]["common_share"] <= 1
-    assert placed[100]["list_share_pct"] >= 0.9 and placed[100]["list_share_z"] > 5
+    assert placed[100]["list_share_pct"] >= 0.9 and placed[100]["odd_share_z"] > 5
     assert quality.found(df.limit(0)).count() == 0
 
 
@@ -214,6 +214,46 @@ def test_forms_that_are_frequent_in_a_language(spark):
     assert got == {n: "table" for n in range(0, 30, 3)} | {100: "list", 201: "junk", 202: "junk", 203: "junk"}
 
 
+def _mixed(share, n):
+    """Running text of some thirty lines with a share of its lines as a list."""
+    rnd = random.Random(n)
+    words = "the of and harbour clerk report spring in was committee careful old easy with that had not task".split()
+    lines = []
+    for k in range(30):
+        if k < share * 30:
+            lines.append(f"[{k}] Miller, A. and Brown. The old harbour and the clerk of, {k}(2)")
+        else:
+            lines.append(" ".join(rnd.choices(words, k=11)) + (rnd.choice([".", ",", "", ""])))
+    return "\n".join(lines)
+
+
+def test_the_distribution_decides(spark):
+    """The same document is in the tail of a collection of plain prose, and not where most documents hold long lists."""
+    probe = (1000, "en", _mixed(0.6, 5), "ok")
+    kinds = {}
+    for name, shares in (("plain", [0.0, 0.03, 0.06]), ("full of lists", [0.0, 0.15, 0.3, 0.45])):
+        rows = [(n, "en", _mixed(shares[n % len(shares)], n), "ok") for n in range(240)]
+        df = spark.createDataFrame([*rows, probe], "doc_id long, lang string, text string, status string")
+        kinds[name] = {r["doc_id"]: r["kind"] for r in quality.found(df).collect()}
+    assert kinds == {"plain": {1000: "list"}, "full of lists": {}}
+
+
+def test_scores_equal_those_of_exact_quantiles(spark):
+    """Within what the sketch's rank error (0.2 %) leaves open; documents of the second language take all languages' scores."""
+    rnd = random.Random(8)
+    rows = [(n, "en" if n % 5 else "xx", _mixed(rnd.random() ** 3 * 0.6, n), "ok") for n in range(400)]
+    measured = quality.stats(spark.createDataFrame(rows, "doc_id long, lang string, text string, status string"))
+    got = quality.scored(measured, ("odd_share", "common_share")).toPandas()
+    inside = got[(got.n_lines > 1) & (got.odd_share < 0.5)]
+    for language, of in (("en", inside[inside.language == "en"]), ("xx", inside)):
+        mine = got[got.language == language]
+        for s in ("odd_share", "common_share"):
+            middle, edge = np.quantile(of[s], [0.49, 0.51]), np.quantile(of[s], [0.98, 1])
+            top = mine[mine[s] > np.quantile(of[s], 0.6)]
+            bounds = [[(v - m) / max((e - m) / 2.326, 0.02) for m in middle for e in edge] for v in top[s]]
+            assert len(top) and all(min(b) - 1e-6 <= x <= max(b) + 1e-6 for b, x in zip(bounds, top[f"{s}_z"]))
+
+
 def test_statistics_do_not_depend_on_the_batch():
     texts = [PROSE, "", LIST, "x", TABLE, JUNK, "a\n\nb", " ", "é" * 1000]
     one = {k: [float(quality.doc_stats(*cp.to_codes(pa.array([t])))[k][0]) for t in texts] for k in quality.STATS}
