@@ -1,12 +1,17 @@
 """Text from scanned pages: broken words, misread characters, running lines and page numbers; reflowed pages.
 
-Chunks are read once for three narrow tables: lines at the head and foot of pages, words broken over a line
-end, and the document frequency of words. Running lines are keys that come back on other pages of a document,
-where a key folds characters that recognition mixes up, so a misread copy has the same key; page numbers
-keep their distance to the page on other pages. Misread words are looked up by intersecting a Levenshtein
-automaton, with merges and splits (Schulz and Mihov 2002), with a trie of the vocabulary, which finds every
-word one edit away; candidates are ranked by the confusion, by their use in the same document, and by
-frequency. The vocabulary is sharded by hash, and forms meet every shard, so no trie grows with the corpus.
+Chunks are read by stretches of a document's pages for lines at the head and foot of pages, words broken over a line
+end, and the number of documents that use a word. Running lines are keys that come back on other pages of a document,
+where a key folds characters that recognition mixes up, so a misread copy has the same key; page numbers keep their
+distance to the page on other pages.
+
+Misread words are looked up by intersecting a Levenshtein automaton, with merges and splits (Schulz and Mihov 2002),
+with tries of all words of the collection. One edit leaves a word's beginning or its end untouched, so words and forms
+meet by those letters: each trie holds words that begin alike, or reversed words that end alike, and every word one edit
+away is found. Which edits are misreadings is learnt: in forms that have a far more frequent neighbour, misread
+characters make the same edit again and again, while names and inflections spread over all edits of a kind. Candidates
+by such an edit are weighed by its frequency, the word's, the use of the word in the same document, and, where
+several remain, by how often they stand beside the form's neighbours.
 
 Null and empty texts give nothing. Replayed chunks and overlapping windows add nothing: results are distinct.
 """
@@ -17,37 +22,45 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
-# What recognition reads (right) for what was printed (left).
+# What recognition is known to read (right) for what was printed (left): the prior of the learnt model.
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("i", "!"), ("i", "l"), ("l", "i"), ("l", "1"), ("i", "1"), ("o", "0"), ("a", "o"), ("s", "5"), ("t", "f"), ("g", "9"),
     ("h", "b"), ("b", "6"), ("y", "v"), ("z", "2"), ("n", "ri"), ("u", "ii"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("rn", "m"), ("cl", "d"),
 )
-_PRINTED = {read + "\0" + printed for printed, read in CONFUSIONS}
 # Marks of a word that goes on in the next line.
 DASHES = "-‐­¬"
 
 
 @dataclass(frozen=True)
 class Ocr:
-    """``least``: documents that must use a word of the vocabulary; ``ratio``: times a word must be more frequent than
-    its misread form, unless the same document uses it; ``lines``: lines at head and foot looked at; ``shard``: words of a vocabulary shard."""
+    """``ratio``: times a word must be more frequent than its misread form, unless the same document uses it; ``odds``: times
+    an edit must be more frequent than the mean rarer edit of its kind to be a misreading; ``known``: the same, as what an edit
+    known beforehand counts in addition; ``lines``: lines at head and foot looked at; ``shard``: words of a trie;
+    ``stretch``: pages of a document that one task reads together, and whose use of a word counts once."""
 
-    least: int = 5
     ratio: int = 20
+    odds: float = 20.0
+    known: float = 20.0
     lines: int = 2
-    shard: int = 50_000
+    shard: int = 20_000
+    stretch: int = 64
 
 
 _EDGE = re.compile(r"^[^\w!]+|\W+$")
-_BROKEN = re.compile(rf"(\S*\w)[{DASHES}][ \t]*\n[ \t]*(\w\S*)")
+_BREAK = re.compile(rf"[{DASHES}][ \t]*\n[ \t]*(?=\w)")
+_END = re.compile(r"\s|$")
+_WORD_CHAR = re.compile(r"\w")
+# Usual marks around words; ``!`` in front may be a misread i.
+_AROUND = ".,;:?()[]{}\"'’‘“”„«»…*–—-"
 _SPLIT_NUMBER = re.compile(r"^(?:(?P<a>\S{1,9})\s{2,}(?P<t1>.*\S)|(?P<t2>.*\S)\s{2,}(?P<b>\S{1,9}))$")
 _NUMBER = re.compile(r"^(?i:(?:page|p\.|seite|s\.|página|pág\.|pagina)\s*)?[\[\(\-–—\s]*([0-9lIi!|oOsSbgzZ]{1,5})(?:\s*/\s*[0-9lIi!|oOsSbgzZ]{1,5})?[\]\)\-–—\s.]*$")
 _ROMAN = re.compile(r"^[\[\(\-–—\s]*([ivxlcdm!1]{1,9})[\]\)\-–—\s.]*$", re.I)
@@ -58,7 +71,26 @@ _FOLD |= {ord(c): None for c in DASHES}
 
 def strip(token: str) -> str:
     """A token in lower case without the punctuation around it; a mark that may be a misread i stays in front."""
-    return _EDGE.sub("", token).lower()
+    token = token.lower()
+    if not (token[:1].isalnum() and token[-1:].isalnum()):
+        token = token.strip(_AROUND)
+        if not (token[:1].isalnum() and token[-1:].isalnum()):
+            return _EDGE.sub("", token)
+    return token
+
+
+def breaks(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, mark, next line, end) of words broken over a line end: a word, a mark, a line feed, the rest of the word."""
+    out, free = [], 0
+    for m in _BREAK.finditer(text):
+        mark = start = m.start()
+        if mark <= free or not _WORD_CHAR.match(text[mark - 1]):
+            continue
+        while start > free and not text[start - 1].isspace():
+            start -= 1
+        free = _END.search(text, m.end()).start()
+        out.append((start, mark, m.end(), free))
+    return out
 
 
 def skeleton(line: str) -> str:
@@ -113,26 +145,30 @@ def line_parts(line: str) -> tuple[str, list[int]]:
 
 def _solid(line: str) -> bool:
     """Not blank and not the specks of a dirty scan."""
-    return sum(c.isalnum() for c in line) * 2 >= max(1, len(line.replace(" ", "")) - 4)
+    return sum(map(str.isalnum, line)) * 2 >= max(1, len(line.replace(" ", "")) - 4)
+
+
+def _first_solid(lines: Iterable[str], n: int) -> list[str]:
+    return list(islice((x for x in lines if not x.isspace() and x and _solid(x)), n))
 
 
 def edges(text: str, head: bool, n: int) -> list[tuple[bool, str, list[int]]]:
     """(head, key, numbers) of the first n lines (only if the text begins the page) and the last n."""
-    lines = [x for x in text.split("\n") if x.strip() and _solid(x)]
-    out = [(True, *line_parts(x)) for x in lines[:n]] if head else []
-    return out + [(False, *line_parts(x)) for x in lines[-n:]]
+    lines = text.split("\n")
+    out = [(True, *line_parts(x)) for x in _first_solid(lines, n)] if head else []
+    return out + [(False, *line_parts(x)) for x in _first_solid(reversed(lines), n)[::-1]]
 
 
 def broken_words(text: str, head: bool) -> list[tuple[str, str, bool]]:
     """(left, right, last) of words broken over a line end; one at the text's start is left out unless the text begins
     the page (``head``), as it may be cut; so may one that ends the text (``last``), unless the text ends the page."""
     out = []
-    for m in _BROKEN.finditer(text):
-        if m.start() == 0 and not head:
+    for start, mark, begin, end in breaks(text):
+        if start == 0 and not head:
             continue
-        left, right = strip(m[1] + "x")[:-1], strip("x" + m[2])[1:]
+        left, right = strip(text[start:mark] + "x")[:-1], strip("x" + text[begin:end])[1:]
         if left and right and right[0].isalpha() and left[-1].isalpha():
-            out.append((left, right, m.end() == len(text)))
+            out.append((left, right, end == len(text)))
     return out
 
 
@@ -140,42 +176,55 @@ _PART = "doc_id long, page_no int, char_end int, head array<struct<key:string,nu
 
 
 def parts(chunks: DataFrame, spec: Ocr) -> DataFrame:
-    """Rows of pages' edges and broken words (word is null), and rows of words with the documents that use them."""
+    """Rows of pages' edges and broken words (word is null), and rows of words with the documents that use them.
+
+    A stretch of a document's pages comes to one task in order, so its words count once, and a document of any length
+    spreads over tasks; a document longer than a stretch counts once for each.
+    """
+    kind = pa.list_(pa.struct([("key", pa.string()), ("numbers", pa.list_(pa.int32()))]))
+    pair = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string()), ("last", pa.bool_())]))
+    types = (pa.int64(), pa.int32(), pa.int32(), kind, kind, pair, pa.string(), pa.int32())
+    names = ["doc_id", "page_no", "char_end", "head", "foot", "broken", "word", "n"]
+
+    def pages(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [*zip(*rows), [None] * len(rows), [None] * len(rows)] if rows else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    def counts(count: Counter) -> pa.RecordBatch:
+        none = [pa.nulls(len(count), t) for t in types[:6]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int32())], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("key", pa.string()), ("numbers", pa.list_(pa.int32()))]))
-        pair = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string()), ("last", pa.bool_())]))
+        count: Counter = Counter()
+        now, before = None, None
+        tokens: set[str] = set()
         for batch in batches:
-            words: dict[int, set[str]] = {}
             rows = []
-            for doc, page, start, end, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                words.setdefault(doc, set()).update(text.split())
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if row == before:
+                    continue
+                before = row
+                doc, stretch, page, start, end, text = row
+                if (doc, stretch) != now:
+                    count.update({strip(t) for t in tokens})
+                    tokens, now = set(), (doc, stretch)
+                    if len(count) > 100_000:
+                        count.pop("", None)
+                        yield counts(count)
+                        count.clear()
+                tokens.update(text.lower().split())
                 e = edges(text, start == 0, spec.lines)
                 pack = lambda side, e=e: [{"key": k, "numbers": v} for h, k, v in e if h == side and (v or len(k) >= 8)]
                 b = [{"l": x, "r": y, "last": z} for x, y, z in broken_words(text, start == 0)]
                 rows.append((doc, page, end, pack(True), pack(False), b))
-            count = Counter()
-            for tokens in words.values():
-                count.update({strip(t) for t in tokens})
-            count.pop("", None)
-            n = len(rows)
-            columns = list(zip(*rows)) if rows else [()] * 6
-            none = lambda t, m: pa.nulls(m, t)
-            m = len(count)
-            arrays = [
-                pa.concat_arrays([pa.array(columns[0], pa.int64()), none(pa.int64(), m)]),
-                pa.concat_arrays([pa.array(columns[1], pa.int32()), none(pa.int32(), m)]),
-                pa.concat_arrays([pa.array(columns[2], pa.int32()), none(pa.int32(), m)]),
-                pa.concat_arrays([pa.array(columns[3], kind), none(kind, m)]),
-                pa.concat_arrays([pa.array(columns[4], kind), none(kind, m)]),
-                pa.concat_arrays([pa.array(columns[5], pair), none(pair, m)]),
-                pa.concat_arrays([none(pa.string(), n), pa.array(list(count), pa.string())]),
-                pa.concat_arrays([none(pa.int32(), n), pa.array(list(count.values()), pa.int32())]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "page_no", "char_end", "head", "foot", "broken", "word", "n"])
-
-    rows = chunks.where("text_utf8 IS NOT NULL").select("doc_id", "page_no", "char_start", "char_end", "text_utf8")
-    return rows.mapInArrow(run, _PART)
+            yield pages(rows)
+        count.update({strip(t) for t in tokens})
+        count.pop("", None)
+        yield counts(count)
+
+    keys = ["doc_id", "stretch"]
+    rows = chunks.where("text_utf8 IS NOT NULL").select("doc_id", F.floor(F.col("page_no") / spec.stretch).alias("stretch"), "page_no", "char_start", "char_end", "text_utf8")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "page_no", "char_start", "char_end").mapInArrow(run, _PART)
 
 
 def furniture(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,124 +248,160 @@ def furniture(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Trie:
-    """Words as nested dictionaries; the empty key marks a word's end."""
+    """Words as nested dictionaries; the empty key marks a word's end. ``back``: words are spelled from their end."""
 
-    def __init__(self, words: Iterable[str]) -> None:
+    def __init__(self, words: Iterable[str], back: bool = False) -> None:
         self.root: dict = {}
+        self.back = back
         for w in words:
             node = self.root
-            for c in w:
+            for c in w[::-1] if back else w:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def near(self, form: str) -> dict[str, tuple[str, str]]:
-        """Every word one edit from the form, with the edit (printed, read): a substitution, insertion or deletion,
-        two characters read for one, or one for two. Complete: all paths of the automaton through the trie are taken."""
-        n = len(form)
-        out: dict[str, tuple[str, str]] = {}
+    def near(self, form: str, first: int = 0, last: int | None = None) -> set[tuple[str, str, str]]:
+        """(word, printed, read) of every word one edit from the form: a substitution, insertion or deletion, two
+        characters read for one, or one for two. The edit begins at the letters ``first`` to ``last`` of the form (from
+        its end, if the trie is spelled so). Complete: all paths of the automaton through the trie are taken."""
+        text = form[::-1] if self.back else form
+        n = len(text)
+        out: set[tuple[str, str, str]] = set()
 
-        def rest(node: dict | None, i: int, edit: tuple[str, str]) -> None:
+        def rest(node: dict | None, i: int, printed: str, read: str) -> None:
             while node is not None and i < n:
-                node = node.get(form[i])
+                node = node.get(text[i])
                 i += 1
-            if node and (w := node.get("")) and w != form and (w not in out or plausible(*edit) > plausible(*out[w])):
-                out[w] = edit
+            if node and (w := node.get("")) and w != form:
+                out.add((w, printed[::-1], read[::-1]) if self.back else (w, printed, read))
 
         node: dict | None = self.root
         for i in range(n + 1):
-            read, two = form[i : i + 1], form[i : i + 2]
-            for c, child in node.items():
-                if not c:
-                    continue
-                if read and c != read:
-                    rest(child, i + 1, (c, read))
-                rest(child, i, (c, ""))
-                if len(two) == 2 and c not in two:
-                    rest(child, i + 2, (c, two))
+            if i >= first:
+                read, two = text[i : i + 1], text[i : i + 2]
+                for c, child in node.items():
+                    if not c:
+                        continue
+                    if read and c != read:
+                        rest(child, i + 1, c, read)
+                    rest(child, i, c, "")
+                    if len(two) == 2 and c not in two:
+                        rest(child, i + 2, c, two)
+                    if read:
+                        for d, grandchild in child.items():
+                            if d and c != read and d != read:
+                                rest(grandchild, i + 1, c + d, read)
                 if read:
-                    for d, grandchild in child.items():
-                        if d and c != read and d != read:
-                            rest(grandchild, i + 1, (c + d, read))
-            if read:
-                rest(node, i + 1, ("", read))
-            if i == n or (node := node.get(form[i])) is None:
+                    rest(node, i + 1, "", read)
+            if i == n or i == last or (node := node.get(text[i])) is None:
                 break
         return out
 
 
-def plausible(printed: str, read: str) -> int:
-    """2 for a known confusion, 0 otherwise."""
-    return 2 if read + "\0" + printed in _PRINTED else 0
+def _kept(length: Column) -> Column:
+    """Letters at one end of a word by which it is found."""
+    return F.when(length < 6, 1).otherwise(2)
 
 
-def corrections(forms: DataFrame, words: DataFrame, spec: Ocr) -> DataFrame:
-    """(form, word, n): words of (word, n) that a form of (form, n) may be a misreading of, by a known confusion.
+def meeting(forms: DataFrame, words: DataFrame, spec: Ocr) -> tuple[DataFrame, DataFrame]:
+    """Forms and words under the keys by which a form meets every word one edit away: letters at the beginning or the end.
 
-    The word must be ``spec.ratio`` times as frequent. The vocabulary is cut into shards of ``spec.shard`` words and
-    the forms into blocks; every block meets every shard.
+    An edit takes up to two neighbouring letters of the form and of the word. With k letters kept, one that touches the
+    first k leaves the last k alone if the form is longer than 2k, or, with k = 1, longer than what the edit reads: words
+    of six letters and more keep two, others one. A form goes to the keys of all lengths that its words may have. A key
+    with many words or forms is split: words by ``shard``, forms by ten times as many, every part meeting every part.
     """
-    known = words.where(F.col("n") >= spec.least)
-    shards = max(1, -(-known.count() // spec.shard))
-    blocks = max(1, min(512, -(-forms.count() // 2000)))
-    left = forms.select("form", "n", F.pmod(F.xxhash64("form"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = known.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-
-    def look(f: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        trie, count = Trie(w["word"]), dict(zip(w["word"], w["n"]))
-        out = []
-        for form, n in zip(f["form"], f["n"]):
-            for word, edit in trie.near(form).items():
-                if plausible(*edit) and count[word] >= spec.ratio * max(1, n):
-                    out.append((form, word, int(count[word])))
-        return pd.DataFrame(out, columns=["form", "word", "n"])
+    key = lambda t, k, back: F.concat(F.lit("<" if back else ">"), k.cast("string"), F.substring(t, -k, k) if back else F.substring(t, F.lit(1), k))
+    size = F.length("text")
+    ends = lambda k: F.array(key(F.col("text"), k, False), key(F.col("text"), k, True))
+    w = words.select(F.col("word").alias("text"), F.col("n")).select("text", "n", F.explode(ends(_kept(size))).alias("key"))
+    f = forms.select(F.col("form").alias("text"), F.col("n")).select("text", "n", F.explode(F.array_distinct(F.flatten(F.array(ends(_kept(size - 1)), ends(_kept(size + 1)))))).alias("key"))
+    total = lambda rows, name, part: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias(name))
+    split = total(w, "ws", spec.shard).join(total(f, "fs", 10 * spec.shard), "key").where("ws > 1 OR fs > 1")
+    part = lambda n: F.pmod(F.xxhash64("text"), F.coalesce(n, F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    ws, fs = F.col("ws"), F.col("fs")
+    w = w.join(split, "key", "left").withColumns({"wp": part(ws)}).withColumn("fp", each(fs))
+    f = f.join(split, "key", "left").withColumns({"fp": part(fs)}).withColumn("wp", each(ws))
+    return f.select("key", "wp", "fp", "text", "n"), w.select("key", "wp", "fp", "text", "n")
 
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(look, "form string, word string, n long")
 
+def corrections(forms: DataFrame, words: DataFrame, spec: Ocr) -> DataFrame:
+    """(form, word, printed, read, n_form, n_word): every word of (word, n) one edit from a form of (form, n)."""
+    f, w = meeting(forms, words, spec)
+    buckets = max(1, -(-2 * words.count() // spec.shard))
+    bucket = F.pmod(F.xxhash64("key", "wp", "fp"), F.lit(buckets)).alias("bucket")
 
-def printed_forms(form: str) -> set[str]:
-    """What the form may be a misreading of, by one known confusion."""
-    return {form[: m.start()] + printed + form[m.start() + len(read) :] for printed, read in CONFUSIONS for m in re.finditer(f"(?={re.escape(read)})", form)} - {form}
-
-
-def local_corrections(rows: DataFrame, seen: DataFrame, words: DataFrame, used: DataFrame) -> DataFrame:
-    """(doc_id, form, word, n): for rare forms of (doc_id, form), at most one other document having them, words of the same
-    document by a known confusion, however few documents use them: more than the form, or as many if only the form
-    has a digit or mark in it."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(form, n, word) for form, n in zip(batch.column("form").to_pylist(), batch.column("n").to_pylist()) for word in printed_forms(form)]
-            columns = list(zip(*pairs)) if pairs else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["form", "own", "word"])
-
-    near = seen.where("n <= 2").select("form", F.col("n").cast("long").alias("n")).mapInArrow(run, "form string, own long, word string").join(words, "word").where("n > own OR n = own AND form RLIKE '[0-9!]' AND word NOT RLIKE '[0-9!]'")
-    return near.join(rows, "form").join(used.select("doc_id", "word"), ["doc_id", "word"], "left_semi").select("doc_id", "form", "word", "n")
+    def look(f: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        out: set[tuple] = set()
+        count = dict(zip(w["text"], w["n"]))
+        for back in (False, True):
+            mine = w["key"].str.startswith("<" if back else ">")
+            tries = {k: Trie(set(t), back) for k, t in w[mine].groupby("key")["text"]}
+            for key, form, n in zip(f["key"], f["text"], f["n"]):
+                if (trie := tries.get(key)) is not None:
+                    k = int(key[1])
+                    for word, printed, read in trie.near(form, max(k, len(form) - k - 1) if back else k):
+                        out.add((form, word, printed, read, n, count[word]))
+        return pd.DataFrame(list(out), columns=["form", "word", "printed", "read", "n_form", "n_word"])
+
+    found = f.select(bucket, "key", "text", "n").groupBy("bucket").cogroup(w.select(bucket, "key", "text", "n").groupBy("bucket")).applyInPandas(look, "form string, word string, printed string, read string, n_form long, n_word long")
+    return found.distinct()
+
+
+def confusions(near: DataFrame, spec: Ocr) -> DataFrame:
+    """(printed, read, w): edits that are misreadings, learnt from pairs as :func:`corrections` gives them; w their weight.
+
+    Expectation-maximization over forms with a word ``spec.ratio`` times as frequent: a form's share in each of its
+    edits is in proportion to the edits' counts. An edit of a kind (letters printed and read) counts as a misreading
+    if it is ``spec.odds`` times as frequent as the rarer edits of the kind are on average, where edits known beforehand
+    have a start. The number of edits is bounded by the letters in use, whatever the number of texts.
+    """
+    clear = near.where(F.col("n_word") >= spec.ratio * F.greatest("n_form", F.lit(1))).where("word NOT RLIKE '[0-9!]'").select("form", "printed", "read").distinct()
+    known = clear.sparkSession.createDataFrame([(a, b, True) for a, b in CONFUSIONS], "printed string, read string, listed boolean")
+    edit = ["printed", "read"]
+    share = clear.join(clear.groupBy("form").agg(F.count(F.lit(1)).alias("m")), "form").withColumn("q", 1 / F.col("m"))
+    for _ in range(2):
+        count = share.groupBy(*edit).agg(F.sum("q").alias("a"))
+        weighed = clear.join(count, edit)
+        share = weighed.join(weighed.groupBy("form").agg(F.sum("a").alias("m")), "form").withColumn("q", F.col("a") / F.col("m"))
+    kind = [F.length("printed").alias("lp"), F.length("read").alias("lr")]
+    count = share.groupBy(*edit).agg(F.sum("q").alias("a")).join(known, edit, "full_outer").select(*edit, F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("listed", F.lit(False)).alias("listed"), *kind)
+    rarer = Window.partitionBy("lp", "lr").orderBy(F.round(F.col("a") * 1000).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    mean = F.greatest(F.coalesce(F.avg(F.when(~F.col("listed"), F.col("a"))).over(rarer), F.lit(0.0)), F.lit(0.5))
+    weight = F.col("a") + F.when(F.col("listed"), F.lit(spec.known) * F.col("mean")).otherwise(0.0)
+    return count.withColumn("mean", mean).withColumn("w", weight).where(F.col("w") >= F.lit(spec.odds) * F.col("mean")).select(*edit, "w")
 
 
 def _tokens(chunks: DataFrame, spec: Ocr) -> DataFrame:
-    """(doc_id, page_no, key, form): words of each chunk; key is that of the line where it may be a running one.
+    """(doc_id, page_no, key, form, before, after): words of each chunk with hashes of a word before and one after it; key
+    is that of the line where it may be a running one.
 
     Words broken over a line end and words cut by the window's edges are left out.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple] = set()
+            out: dict[tuple, tuple] = {}
             for doc, page, start, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = _BROKEN.sub("\n", text)
+                at, left = 0, []
+                for a, _, _, b in breaks(text):
+                    left.append(text[at:a])
+                    at = b
+                text = "\n".join([*left, text[at:]])
                 cut = text.split(" ", 1)[1] if start and " " in text[:60] else text
                 solid = [x for x in cut.split("\n") if x.strip() and _solid(x)]
                 marked = {x: line_parts(x)[0] for x in solid[: spec.lines] + solid[-spec.lines :]}
-                for line in solid:
-                    key = marked.get(line)
-                    for token in line.split():
-                        form = strip(token)
-                        if len(form) > 1 and any(c.isalpha() for c in form):
-                            out.add((doc, page, key, form))
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "page_no", "key", "form"])
+                words = [(marked.get(line), strip(token)) for line in solid for token in line.split()]
+                forms = ["", *(form for _, form in words), ""]
+                for i, (key, form) in enumerate(words):
+                    if len(form) > 1 and any(map(str.isalpha, form)):
+                        out.setdefault((doc, page, key, form), (forms[i], forms[i + 2]))
+            columns = [*zip(*out), *zip(*out.values())] if out else [()] * 6
+            kinds = (pa.int64(), pa.int32(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "page_no", "key", "form", "before", "after"])
 
-    return chunks.where("text_utf8 IS NOT NULL").select("doc_id", "page_no", "char_start", "text_utf8").mapInArrow(run, "doc_id long, page_no int, key string, form string")
+    rows = chunks.where("text_utf8 IS NOT NULL").select("doc_id", "page_no", "char_start", "text_utf8").mapInArrow(run, "doc_id long, page_no int, key string, form string, before string, after string")
+    return rows.groupBy("doc_id", "page_no", "key", "form").agg(F.min(F.xxhash64("before")).alias("before"), F.min(F.xxhash64("after")).alias("after"))
 
 
 @dataclass
@@ -342,28 +427,42 @@ def repairs(chunks: DataFrame, spec: Ocr = Ocr()) -> Repairs:
 
     # documents with furniture or broken words are scans; only their words are looked at
     scans = running.select("doc_id").unionByName(numbered.select("doc_id")).unionByName(pairs.select("doc_id")).distinct()
-    tokens = written(_tokens(chunks.join(scans, "doc_id", "left_semi"), spec).distinct())
+    tokens = written(_tokens(chunks.join(scans, "doc_id", "left_semi"), spec))
     head = running.select("doc_id", "key").distinct()
-    body = written(tokens.join(head, ["doc_id", "key"], "left_anti").select("doc_id", "page_no", "form").distinct())
+    body = written(tokens.join(head, ["doc_id", "key"], "left_anti").groupBy("doc_id", "page_no", "form").agg(F.min("before").alias("before"), F.min("after").alias("after")))
 
     joined = pairs.select("doc_id", "page_no", "l", "r", F.concat("l", "r").alias("one"), F.concat("l", F.lit("-"), "r").alias("two"))
     forms = body.select("form").unionByName(joined.select(F.col("one").alias("form"))).distinct()
     seen = forms.join(words.select(F.col("word").alias("form"), "n"), "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
-    fixed = written(corrections(seen, words, spec))
-
-    # rank: a word the document uses elsewhere, running lines included, first, then the most frequent
-    used = tokens.select("doc_id", F.col("form").alias("word")).distinct().withColumn("here", F.lit(1))
-    ones = body.select("doc_id", "form").unionByName(joined.select("doc_id", F.col("one").alias("form"))).distinct()
-    local = written(local_corrections(ones, seen, words, used)).withColumn("here", F.lit(1))
-
-    def choice(rows: DataFrame, keys: list[str]) -> DataFrame:
-        known = rows.join(fixed, "form").join(used, ["doc_id", "word"], "left").unionByName(rows.join(local, ["doc_id", "form"]))
-        return known.groupBy(*keys).agg(F.max_by("word", F.struct(F.coalesce("here", F.lit(0)), "n", "word")).alias("word"))
-
-    misread = choice(body, ["doc_id", "page_no", "form"])
+    most = words.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]  # a form that frequent can't be misread
+    near = written(corrections(seen.where(F.col("n") * spec.ratio <= most), words.where("length(word) > 1 AND word RLIKE '[^0-9]'"), spec))
+    fixed = written(near.join(confusions(near, spec), ["printed", "read"]).groupBy("form", "word").agg(F.max("w").alias("w"), F.first("n_form").alias("n_form"), F.first("n_word").alias("n_word")))
+
+    # a word must be far more frequent, or the document uses it elsewhere, running lines included
+    used = tokens.select("doc_id", F.col("form").alias("word")).distinct().withColumn("here", F.lit(True))
+    rare = "n_form <= 2 AND (n_word > n_form OR n_word = n_form AND form RLIKE '[0-9!]' AND word NOT RLIKE '[0-9!]')"
+
+    def choices(rows: DataFrame) -> DataFrame:
+        all_of = rows.join(fixed, "form").join(used, ["doc_id", "word"], "left").withColumn("here", F.coalesce("here", F.lit(False)))
+        return all_of.where((F.col("n_word") >= spec.ratio * F.greatest("n_form", F.lit(1))) | F.col("here") & F.expr(rare))
+
+    score = F.log("w") + F.log("n_word") + F.when(F.col("here"), 3.0).otherwise(0.0)
+    best = lambda rows, keys, s: rows.groupBy(*keys).agg(F.max_by("word", F.struct(s.alias("s"), "word")).alias("word"))
+    key = ["doc_id", "page_no", "form"]
+    options = written(choices(body))
+    several = options.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    if several.limit(1).count():
+        # which of them stands beside the same neighbours elsewhere
+        open_ = options.join(several, key)
+        beside = lambda c: body.groupBy(F.col("form").alias("word"), c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+        weighed = open_.join(beside("before"), ["word", "before"], "left").join(beside("after"), ["word", "after"], "left")
+        context = 2 * F.log1p(F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0)))
+        misread = best(options.join(several, key, "left_anti"), key, score).unionByName(best(weighed, key, score + context))
+    else:
+        misread = options.select(*key, "word")
     count = lambda c: words.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
     weighed = joined.join(count("one"), "one", "left").join(count("two"), "two", "left").na.fill(0, ["n_one", "n_two"])
-    better = choice(joined.select("doc_id", F.col("one").alias("form")).distinct(), ["doc_id", "form"]).select("doc_id", F.col("form").alias("one"), F.col("word").alias("fixed"))
+    better = best(choices(joined.select("doc_id", F.col("one").alias("form")).distinct()), ["doc_id", "form"], score).select("doc_id", F.col("form").alias("one"), F.col("word").alias("fixed"))
     broken = weighed.join(better, ["doc_id", "one"], "left").select(
         "doc_id", "page_no", "l", "r", F.when(F.col("n_two") > F.col("n_one"), F.col("two")).otherwise(F.coalesce("fixed", "one")).alias("word"), F.col("fixed").isNotNull().alias("misread")
     )
@@ -411,19 +510,24 @@ def reflow_page(text: str, running: set[str], numbered: bool, broken: dict[tuple
             drop.add(i)
     body = "\n".join("" if i in drop and i in (shown[:1] + shown[-1:]) else x for i, x in enumerate(lines) if i not in drop or i in (shown[:1] + shown[-1:]))
 
-    def whole(m: re.Match) -> str:
-        left, right = strip(m[1] + "x")[:-1], strip("x" + m[2])[1:]
+    def whole(first: str, second: str) -> str | None:
+        left, right = strip(first + "x")[:-1], strip("x" + second)[1:]
         word = broken.get((left, right))
         if word is None:
-            return m[0]
-        printed = m[1] + m[2]
+            return None
+        printed = first + second
         low = left + right
         if word in (low, f"{left}-{right}"):
-            return (m[1] + "-" + m[2] if "-" in word[len(left) : len(left) + 1] else printed) + "\n"
+            return (first + "-" + second if "-" in word[len(left) : len(left) + 1] else printed) + "\n"
         at = printed.lower().find(low)
         return (printed[:at] + _cased(printed[at : at + len(low)], word) + printed[at + len(low) :] if at >= 0 else printed) + "\n"
 
-    body = _BROKEN.sub(whole, body)
+    at, out = 0, []
+    for start, mark, begin, end in breaks(body):
+        if (word := whole(body[start:mark], body[begin:end])) is not None:
+            out += [body[at:start], word]
+            at = end
+    body = "".join(out) + body[at:]
 
     def fix(m: re.Match) -> str:
         form = strip(m[0])

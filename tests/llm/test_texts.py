@@ -264,26 +264,74 @@ def test_statistics_do_not_depend_on_the_batch():
 # -- scanned pages
 
 
+def one_edit(a, b):
+    if a == b:
+        return False
+    for i in range(min(len(a), len(b)) + 1):
+        for x in range(3):
+            for y in range(3):
+                if x + y and (x, y) != (2, 2) and a[:i] == b[:i] and a[i + x :] == b[i + y :] and i + x <= len(a) and i + y <= len(b):
+                    u, v = a[i : i + x], b[i : i + y]
+                    if (x, y) in ((1, 1), (0, 1), (1, 0)) or ((x, y) in ((1, 2), (2, 1)) and not set(u) & set(v)):
+                        return True
+    return False
+
+
 def test_trie_finds_every_word_one_edit_away():
     rnd = random.Random(4)
     words = {"".join(rnd.choice("abcm") for _ in range(rnd.randint(1, 5))) for _ in range(150)}
-    trie = ocr.Trie(words)
-
-    def one_edit(a, b):
-        if a == b:
-            return False
-        for i in range(min(len(a), len(b)) + 1):
-            for x in range(3):
-                for y in range(3):
-                    if x + y and (x, y) != (2, 2) and a[:i] == b[:i] and a[i + x :] == b[i + y :] and i + x <= len(a) and i + y <= len(b):
-                        u, v = a[i : i + x], b[i : i + y]
-                        if (x, y) in ((1, 1), (0, 1), (1, 0)) or ((x, y) in ((1, 2), (2, 1)) and not set(u) & set(v)):
-                            return True
-        return False
-
-    for _ in range(300):
-        form = "".join(rnd.choice("abcm") for _ in range(rnd.randint(1, 5)))
-        assert {w for w in words if one_edit(form, w)} == set(trie.near(form))
+    for trie in (ocr.Trie(words), ocr.Trie(words, back=True)):
+        for _ in range(300):
+            form = "".join(rnd.choice("abcm") for _ in range(rnd.randint(1, 5)))
+            assert {w for w in words if one_edit(form, w)} == {w for w, _, _ in trie.near(form)}
+
+
+def test_forms_meet_every_word_one_edit_away(spark):
+    """By the letters at one of their ends, in small tries and with split keys."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcm") for _ in range(rnd.choice([2, 2, 3, 3, 4, 5, 6, 7, 8])))
+    words, forms = sorted({word() for _ in range(500)}), sorted({word() for _ in range(250)})
+    w = spark.createDataFrame([(x, 3) for x in words], "word string, n long")
+    f = spark.createDataFrame([(x, 1) for x in forms], "form string, n long")
+    expected = {(a, b) for a in forms for b in words if one_edit(a, b)}
+    for shard in (2, 30, 20_000):
+        rows = ocr.corrections(f, w, ocr.Ocr(shard=shard)).collect()
+        assert {(r["form"], r["word"]) for r in rows} == expected and all(r["n_word"] == 3 and r["n_form"] == 1 for r in rows)
+        assert all(r["form"] in {r["word"][:i] + r["read"] + r["word"][i + len(r["printed"]) :] for i in range(len(r["word"]) + 1)} for r in rows)
+
+
+def test_a_misreading_is_learnt(spark):
+    """q for g stands in no list; where it happens often it counts, and one chance neighbour doesn't."""
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abdefgiklmnoprstu") for _ in range(7)) + "g" + rnd.choice("aeiou") for _ in range(60)})
+    rows = [(d, 1, " ".join(words)) for d in range(100, 150)]
+    wrong = [w.replace("g", "q", 1) if "g" not in w[:-2] else w[:-2] + "q" + w[-1] for w in words]
+    rows += [(k, 1, f"the eco-\nnomy of {w} here") for k, w in enumerate(wrong)] + [(90, 1, f"an eco-\nnomy of {words[0][:-1]}x")]
+    df = spark.createDataFrame([(n, d, p, 0, len(t.encode()), t) for n, (d, p, t) in enumerate(rows)], "chunk_id long, doc_id long, page_no int, char_start int, char_end int, text_utf8 string")
+    documents = spark.createDataFrame([(d, "ok") for d in range(200)], "doc_id long, status string")
+    got = {(r["doc_id"], r["word"]) for r in ocr.found(df, documents).where("kind = 'misread'").collect()}
+    assert got == {(k, w) for k, w in enumerate(words)}
+
+
+def test_words_count_by_document(spark):
+    """However rows lie in partitions and batches; replays and overlapping windows add nothing."""
+    rows = [(d, p, k * 50, k * 50 + 60, f"Wort{d % 3} steht, (hier) Seite{p}") for d in range(20) for p in (1, 2) for k in (0, 1)]
+    schema = "doc_id long, page_no int, char_start int, char_end int, text_utf8 string"
+    seen = set()
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([*rows, *rows[:30]], schema).repartition(7)):
+        seen.add(frozenset((r["word"], r["n"]) for r in ocr.parts(df, ocr.Ocr()).where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).collect()))
+    assert seen == {frozenset({("wort0", 7), ("wort1", 7), ("wort2", 6), ("steht", 20), ("hier", 20), ("seite1", 20), ("seite2", 20)})}
+
+
+def test_neighbours_choose_between_words(spark):
+    """'f1at' may be 'flat' or 'fiat': what stands beside it elsewhere decides, not the more frequent word."""
+    rows = [(d, 1, "the red flat shines and a fiat sinks below") for d in range(100, 160)] + [(d, 1, "the flat is here") for d in range(170, 190)]
+    rows += [(k, 1, "an eco-\nnomy of old fiat rusts there") for k in range(10, 14)] + [(k, 1, "an eco-\nnomy, the red flat shines") for k in range(20, 30)]
+    rows += [(1, 1, "an eco-\nnomy the red f1at shines"), (2, 1, "an eco-\nnomy of old f1at rusts")]
+    df = spark.createDataFrame([(n, d, p, 0, len(t.encode()), t) for n, (d, p, t) in enumerate(rows)], "chunk_id long, doc_id long, page_no int, char_start int, char_end int, text_utf8 string")
+    documents = spark.createDataFrame([(d, "ok") for d in range(300)], "doc_id long, status string")
+    got = {(r["doc_id"], r["word"]) for r in ocr.found(df, documents).where("kind = 'misread'").collect()}
+    assert got == {(1, "flat"), (2, "fiat")}
 
 
 @pytest.mark.parametrize(("line", "numbers"), [("118", [118]), ("[ll8]", [118]), ("- 1 -", [1]), ("p. 7", [7]), ("Page ll9", [119]), ("vii", [7]), ("118/124", [118]), ("cxviii", [118]), ("467 degrees.", []), ("Miller", []), ("G", [])])
