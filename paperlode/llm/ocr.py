@@ -9,7 +9,8 @@ Misread words are looked up by intersecting a Levenshtein automaton, with merges
 with tries of all words of the collection. One edit leaves a word's beginning or its end untouched, so words and forms
 meet by those letters: each trie holds words that begin alike, or reversed words that end alike, and every word one edit
 away is found. Which edits are misreadings is learnt: in forms that have a far more frequent neighbour, misread
-characters make the same edit again and again, while names and inflections spread over all edits of a kind. Candidates
+characters make the same edit again and again, while names and inflections spread over all edits of a kind, and the
+rare words of documents that aren't scans don't make it. Candidates
 by such an edit are weighed by its frequency, the word's, the use of the word in the same document, and, where
 several remain, by how often they stand beside the form's neighbours.
 
@@ -43,12 +44,14 @@ DASHES = "-‐­¬"
 @dataclass(frozen=True)
 class Ocr:
     """``ratio``: times a word must be more frequent than its misread form, unless the same document uses it; ``odds``: times
-    an edit must be more frequent than the mean rarer edit of its kind to be a misreading; ``known``: the same, as what an edit
+    an edit must be more frequent than the mean rarer edit of its kind to be a misreading; ``contrast``: times it must be
+    more frequent among rare words of scans than among those of other documents; ``known``: the same, as what an edit
     known beforehand counts in addition; ``lines``: lines at head and foot looked at; ``shard``: words of a trie;
     ``stretch``: pages of a document that one task reads together, and whose use of a word counts once."""
 
     ratio: int = 20
     odds: float = 20.0
+    contrast: float = 10.0
     known: float = 20.0
     lines: int = 2
     shard: int = 20_000
@@ -98,7 +101,7 @@ def skeleton(line: str) -> str:
     text = line.lower().translate(_FOLD).replace("w", "yy")
     for read, printed in (("ri", "n"), ("rn", "m"), ("ei", "d"), ("ii", "u")):
         text = text.replace(read, printed)
-    return "".join(c for c in text if c.isalpha())
+    return "".join(filter(str.isalpha, text))
 
 
 def roman(text: str) -> int | None:
@@ -314,7 +317,7 @@ def meeting(forms: DataFrame, words: DataFrame, spec: Ocr) -> tuple[DataFrame, D
     size = F.length("text")
     ends = lambda k: F.array(key(F.col("text"), k, False), key(F.col("text"), k, True))
     w = words.select(F.col("word").alias("text"), F.col("n")).select("text", "n", F.explode(ends(_kept(size))).alias("key"))
-    f = forms.select(F.col("form").alias("text"), F.col("n")).select("text", "n", F.explode(F.array_distinct(F.flatten(F.array(ends(_kept(size - 1)), ends(_kept(size + 1)))))).alias("key"))
+    f = forms.select(F.col("form").alias("text"), "n", "scan").select("text", "n", "scan", F.explode(F.array_distinct(F.flatten(F.array(ends(_kept(size - 1)), ends(_kept(size + 1)))))).alias("key"))
     total = lambda rows, name, part: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias(name))
     split = total(w, "ws", spec.shard).join(total(f, "fs", 10 * spec.shard), "key").where("ws > 1 OR fs > 1")
     part = lambda n: F.pmod(F.xxhash64("text"), F.coalesce(n, F.lit(1))).cast("int")
@@ -322,11 +325,11 @@ def meeting(forms: DataFrame, words: DataFrame, spec: Ocr) -> tuple[DataFrame, D
     ws, fs = F.col("ws"), F.col("fs")
     w = w.join(split, "key", "left").withColumns({"wp": part(ws)}).withColumn("fp", each(fs))
     f = f.join(split, "key", "left").withColumns({"fp": part(fs)}).withColumn("wp", each(ws))
-    return f.select("key", "wp", "fp", "text", "n"), w.select("key", "wp", "fp", "text", "n")
+    return f.select("key", "wp", "fp", "text", "n", "scan"), w.select("key", "wp", "fp", "text", "n")
 
 
 def corrections(forms: DataFrame, words: DataFrame, spec: Ocr) -> DataFrame:
-    """(form, word, printed, read, n_form, n_word): every word of (word, n) one edit from a form of (form, n)."""
+    """(form, word, printed, read, n_form, n_word, scan): every word of (word, n) one edit from a form of (form, n, scan)."""
     f, w = meeting(forms, words, spec)
     buckets = max(1, -(-2 * words.count() // spec.shard))
     bucket = F.pmod(F.xxhash64("key", "wp", "fp"), F.lit(buckets)).alias("bucket")
@@ -337,39 +340,47 @@ def corrections(forms: DataFrame, words: DataFrame, spec: Ocr) -> DataFrame:
         for back in (False, True):
             mine = w["key"].str.startswith("<" if back else ">")
             tries = {k: Trie(set(t), back) for k, t in w[mine].groupby("key")["text"]}
-            for key, form, n in zip(f["key"], f["text"], f["n"]):
+            for key, form, n, scan in zip(f["key"], f["text"], f["n"], f["scan"]):
                 if (trie := tries.get(key)) is not None:
                     k = int(key[1])
                     for word, printed, read in trie.near(form, max(k, len(form) - k - 1) if back else k):
-                        out.add((form, word, printed, read, n, count[word]))
-        return pd.DataFrame(list(out), columns=["form", "word", "printed", "read", "n_form", "n_word"])
+                        out.add((form, word, printed, read, n, count[word], scan))
+        return pd.DataFrame(list(out), columns=["form", "word", "printed", "read", "n_form", "n_word", "scan"])
 
-    found = f.select(bucket, "key", "text", "n").groupBy("bucket").cogroup(w.select(bucket, "key", "text", "n").groupBy("bucket")).applyInPandas(look, "form string, word string, printed string, read string, n_form long, n_word long")
+    found = f.select(bucket, "key", "text", "n", "scan").groupBy("bucket").cogroup(w.select(bucket, "key", "text", "n").groupBy("bucket")).applyInPandas(look, "form string, word string, printed string, read string, n_form long, n_word long, scan boolean")
     return found.distinct()
 
 
-def confusions(near: DataFrame, spec: Ocr) -> DataFrame:
+def confusions(near: DataFrame, sizes: DataFrame, spec: Ocr) -> DataFrame:
     """(printed, read, w): edits that are misreadings, learnt from pairs as :func:`corrections` gives them; w their weight.
 
-    Expectation-maximization over forms with a word ``spec.ratio`` times as frequent: a form's share in each of its
-    edits is in proportion to the edits' counts. An edit of a kind (letters printed and read) counts as a misreading
-    if it is ``spec.odds`` times as frequent as the rarer edits of the kind are on average, where edits known beforehand
-    have a start. The number of edits is bounded by the letters in use, whatever the number of texts.
+    Expectation-maximization over forms of scans with a word ``spec.ratio`` times as frequent: a form's share in each of
+    its edits is in proportion to the edits' counts. An edit of a kind (letters printed and read) counts as a misreading
+    if it is ``spec.odds`` times as frequent as the rarer edits of the kind are on average, and among rare forms
+    ``spec.contrast`` times as frequent as in other documents; edits known beforehand have a start. ``sizes``: one row, the
+    number of scans (n_scan) and other documents (n_other). The number of edits is bounded by the letters in use,
+    whatever the number of texts.
     """
-    clear = near.where(F.col("n_word") >= spec.ratio * F.greatest("n_form", F.lit(1))).where("word NOT RLIKE '[0-9!]'").select("form", "printed", "read").distinct()
-    known = clear.sparkSession.createDataFrame([(a, b, True) for a, b in CONFUSIONS], "printed string, read string, listed boolean")
     edit = ["printed", "read"]
-    share = clear.join(clear.groupBy("form").agg(F.count(F.lit(1)).alias("m")), "form").withColumn("q", 1 / F.col("m"))
+    clear = near.where(F.col("n_word") >= spec.ratio * F.greatest("n_form", F.lit(1))).where("word NOT RLIKE '[0-9!]'")
+    clear = written(clear.groupBy("scan", "form", *edit).agg(F.min("n_form").alias("n_form")))
+    scans = clear.where("scan")
+    share = scans.join(scans.groupBy("form").agg(F.count(F.lit(1)).alias("m")), "form").withColumn("q", 1 / F.col("m"))
     for _ in range(2):
-        count = share.groupBy(*edit).agg(F.sum("q").alias("a"))
-        weighed = clear.join(count, edit)
+        count = written(share.groupBy(*edit).agg(F.sum("q").alias("a")))  # a row for each edit
+        weighed = scans.join(count, edit)
         share = weighed.join(weighed.groupBy("form").agg(F.sum("a").alias("m")), "form").withColumn("q", F.col("a") / F.col("m"))
+    own = share.groupBy(*edit).agg(F.sum("q").alias("a"), F.sum(F.when(F.col("n_form") <= 2, F.col("q"))).alias("mine"))
+    theirs = clear.where("NOT scan").groupBy(*edit).agg(F.count(F.lit(1)).alias("theirs"))
+    known = clear.sparkSession.createDataFrame([(a, b, True) for a, b in CONFUSIONS], "printed string, read string, listed boolean")
+    listed = F.coalesce("listed", F.lit(False))
     kind = [F.length("printed").alias("lp"), F.length("read").alias("lr")]
-    count = share.groupBy(*edit).agg(F.sum("q").alias("a")).join(known, edit, "full_outer").select(*edit, F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("listed", F.lit(False)).alias("listed"), *kind)
+    count = own.join(known, edit, "full_outer").join(theirs, edit, "left").select(*edit, F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("mine", F.lit(0.0)).alias("mine"), F.coalesce("theirs", F.lit(0)).alias("theirs"), listed.alias("listed"), *kind)
     rarer = Window.partitionBy("lp", "lr").orderBy(F.round(F.col("a") * 1000).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
     mean = F.greatest(F.coalesce(F.avg(F.when(~F.col("listed"), F.col("a"))).over(rarer), F.lit(0.0)), F.lit(0.5))
     weight = F.col("a") + F.when(F.col("listed"), F.lit(spec.known) * F.col("mean")).otherwise(0.0)
-    return count.withColumn("mean", mean).withColumn("w", weight).where(F.col("w") >= F.lit(spec.odds) * F.col("mean")).select(*edit, "w")
+    rows = count.withColumn("mean", mean).withColumn("w", weight).where(F.col("w") >= F.lit(spec.odds) * F.col("mean")).crossJoin(F.broadcast(sizes))  # one row
+    return rows.where(F.col("listed") | (F.col("n_other") == 0) | (F.col("mine") * F.col("n_other") >= F.lit(spec.contrast) * (F.col("theirs") + 0.5) * F.col("n_scan"))).select(*edit, "w")
 
 
 def _tokens(chunks: DataFrame, spec: Ocr) -> DataFrame:
@@ -433,10 +444,15 @@ def repairs(chunks: DataFrame, spec: Ocr = Ocr()) -> Repairs:
 
     joined = pairs.select("doc_id", "page_no", "l", "r", F.concat("l", "r").alias("one"), F.concat("l", F.lit("-"), "r").alias("two"))
     forms = body.select("form").unionByName(joined.select(F.col("one").alias("form"))).distinct()
-    seen = forms.join(words.select(F.col("word").alias("form"), "n"), "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
+    scan = forms.withColumnRenamed("form", "word").withColumn("scan", F.lit(True))
+    seen = words.join(scan, "word", "full_outer").select(F.col("word").alias("form"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("scan", F.lit(False)).alias("scan"))
     most = words.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]  # a form that frequent can't be misread
-    near = written(corrections(seen.where(F.col("n") * spec.ratio <= most), words.where("length(word) > 1 AND word RLIKE '[^0-9]'"), spec))
-    fixed = written(near.join(confusions(near, spec), ["printed", "read"]).groupBy("form", "word").agg(F.max("w").alias("w"), F.first("n_form").alias("n_form"), F.first("n_word").alias("n_word")))
+    looked = written(seen.where((F.col("n") * spec.ratio <= most) & (F.col("scan") | (F.col("n") <= 2) & F.expr("length(form) > 1 AND form RLIKE '[^0-9]'"))))
+    near = written(corrections(looked, words.where("length(word) > 1 AND word RLIKE '[^0-9]'"), spec))
+    docs = pages.select("doc_id").distinct().join(scans.withColumn("scan", F.lit(True)), "doc_id", "left")
+    sizes = docs.agg(F.count("scan").alias("n_scan"), F.count_if(F.col("scan").isNull()).alias("n_other"))
+    scanned = near.where("scan")
+    fixed = written(scanned.join(confusions(near, sizes, spec), ["printed", "read"]).groupBy("form", "word").agg(F.max("w").alias("w"), F.first("n_form").alias("n_form"), F.first("n_word").alias("n_word")))
 
     # a word must be far more frequent, or the document uses it elsewhere, running lines included
     used = tokens.select("doc_id", F.col("form").alias("word")).distinct().withColumn("here", F.lit(True))

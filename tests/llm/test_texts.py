@@ -292,7 +292,7 @@ def test_forms_meet_every_word_one_edit_away(spark):
     word = lambda: "".join(rnd.choice("abcm") for _ in range(rnd.choice([2, 2, 3, 3, 4, 5, 6, 7, 8])))
     words, forms = sorted({word() for _ in range(500)}), sorted({word() for _ in range(250)})
     w = spark.createDataFrame([(x, 3) for x in words], "word string, n long")
-    f = spark.createDataFrame([(x, 1) for x in forms], "form string, n long")
+    f = spark.createDataFrame([(x, 1, True) for x in forms], "form string, n long, scan boolean")
     expected = {(a, b) for a in forms for b in words if one_edit(a, b)}
     for shard in (2, 30, 20_000):
         rows = ocr.corrections(f, w, ocr.Ocr(shard=shard)).collect()
@@ -307,6 +307,8 @@ def test_a_misreading_is_learnt(spark):
     rows = [(d, 1, " ".join(words)) for d in range(100, 150)]
     wrong = [w.replace("g", "q", 1) if "g" not in w[:-2] else w[:-2] + "q" + w[-1] for w in words]
     rows += [(k, 1, f"the eco-\nnomy of {w} here") for k, w in enumerate(wrong)] + [(90, 1, f"an eco-\nnomy of {words[0][:-1]}x")]
+    rows += [(d, 1, "the name is " + words[k][:3] + "y" + words[k][4:]) for k, d in enumerate(range(150, 190))]  # variants of words, in scans and elsewhere
+    rows += [(d, 1, "an eco-\nnomy and " + words[k][:4] + "y" + words[k][5:]) for k, d in enumerate(range(60, 90))]
     df = spark.createDataFrame([(n, d, p, 0, len(t.encode()), t) for n, (d, p, t) in enumerate(rows)], "chunk_id long, doc_id long, page_no int, char_start int, char_end int, text_utf8 string")
     documents = spark.createDataFrame([(d, "ok") for d in range(200)], "doc_id long, status string")
     got = {(r["doc_id"], r["word"]) for r in ocr.found(df, documents).where("kind = 'misread'").collect()}
