@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SNIPPET_BYTES
@@ -68,7 +68,9 @@ def rank_keys(shown: Column, query: str) -> list[Column]:
 
 
 def ranked(hits: DataFrame, query: str) -> DataFrame:
-    """Hits in rank order: phrase, terms, earliest place, page, document, chunk. Only a limited list should come here."""
+    """Hits in rank order, with ``_rank`` from 1: phrase, terms, earliest place, page, document, chunk. Only a limited
+    list should come here: one task numbers it."""
     names = ("_whole", "_count", "_place")
     keyed = hits.withColumns(dict(zip(names, rank_keys(F.col("snippet"), query))))
-    return keyed.orderBy(F.col("_whole").desc(), F.col("_count").desc(), "_place", "page_no", "doc_id", "chunk_id").drop(*names)
+    order = Window.orderBy(F.col("_whole").desc(), F.col("_count").desc(), "_place", "page_no", "doc_id", "chunk_id")
+    return keyed.withColumn("_rank", F.row_number().over(order)).orderBy("_rank").drop(*names)

@@ -58,9 +58,9 @@ class CommitLog:
         names = self._names()
         return self._read(names[-1]) if names else None
 
-    def commit(self, after: Commit | None, upper: int, output: str | None) -> Commit:
-        """Publish limit and output together, as the commit next to ``after``."""
-        new = Commit(after.sequence + 1 if after else 1, after.upper if after else 0, upper, output)
+    def commit(self, after: Commit | None, upper: int, output: str | None, lower: int = 0) -> Commit:
+        """Publish limit and output together, as the commit next to ``after`` (``lower``: the limit where there is none)."""
+        new = Commit(after.sequence + 1 if after else 1, after.upper if after else lower, upper, output)
         aside = self._path(f"{self.root}/log/.{uuid.uuid4().hex}")
         stream = self._fs.create(aside, False)
         stream.write(json.dumps(asdict(new)).encode())
@@ -75,20 +75,23 @@ class CommitLog:
         return new
 
 
-def run(log: CommitLog, ceiling: Callable[[], int], work: Callable[[int, int], DataFrame], first: int = 0) -> Commit:
+def run(log: CommitLog, ceiling: Callable[[], int], work: Callable[[int, int], DataFrame], first: int = 0, before_commit: Callable[[Commit | None], None] | None = None) -> Commit | None:
     """Process all positions in (last upper limit, ``ceiling()``], once.
 
     ``work(lower, upper)`` returns the output of that range; ``first`` is the limit before any commit.
-    With nothing new no commit is made and the last one is returned.
+    With nothing new no commit is made and the last one is returned. ``before_commit`` is called between writing and
+    committing; if it raises, the run has left nothing that is ever read.
     """
     last = log.last()
     lower = last.upper if last else first
     upper = ceiling()  # fixed here: what arrives later waits for the next run
-    if last and upper <= lower:
+    if upper <= lower:
         return last
     output = f"{log.root}/data/{uuid.uuid4().hex}"
     work(lower, upper).write.parquet(output)
-    return log.commit(last, upper, output)
+    if before_commit:
+        before_commit(last)
+    return log.commit(last, upper, output, lower)
 
 
 def committed(log: CommitLog, schema: str) -> DataFrame:

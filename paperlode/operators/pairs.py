@@ -14,7 +14,7 @@ def key_pairs(rows: DataFrame, key: list[str], row_id: str, condition: Column |
 
     A key with more than ``block`` rows is cut into blocks; each pair of blocks is a cell of its own,
     so no task gets more than ``2 * block`` rows of a key at once and the cells of a hot key spread over
-    the cluster. No pair is left out. ``row_id`` must be unique within a key; in a pair, a.row_id < b.row_id.
+    the cluster. No pair is left out. In a pair, a.row_id < b.row_id; rows of a key with the same ``row_id`` aren't paired.
     Rows with a null in the key pair with nothing. ``condition`` may restrict the pairs, over ``a`` and ``b``.
     Keys are counted with map-side combining, and keys with one row are dropped before the pairing join; the join
     with the counts has one row a key on one side, so adaptive execution may split a hot key's rows among tasks.

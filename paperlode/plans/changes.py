@@ -2,43 +2,101 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, incremental, overlay
-from ..session import shared_dir, table
+from ..session import fingerprint, shared_dir, table
 from . import sqltext as sx
 from .search import items
 
 
-def run_changes(spark: SparkSession, sf_dir: str, upper: int) -> DataFrame:
-    """(path, reason) of what the scan run ``upper`` must do; nothing for a run that isn't known."""
-    run = table(spark, sf_dir, "scan_runs").where(F.col("run_id") == upper).limit(1)
-    listing = table(spark, sf_dir, "listing").where((F.col("run_id") == upper) & diff.is_pdf(F.col("path")))
+def run_changes(spark: SparkSession, sf_dir: str, lower: int, upper: int) -> DataFrame:
+    """(path, reason) of what the scan run ``upper`` must do; of the listing only rows of runs in (lower, upper] are read.
+
+    A complete listing stands for those of the failed runs before it; nothing for a run that isn't known.
+    """
+    run = table(spark, sf_dir, "scan_runs").where((F.col("run_id") == upper) & (F.col("run_id") > lower)).limit(1)
     now = run.select("extractor", "extractor_version", "norm_version").first()
     if now is None:
-        return spark.createDataFrame([], "path string, reason string")
+        return spark.createDataFrame([], CHANGES)
+    listing = table(spark, sf_dir, "listing").where((F.col("run_id") > lower) & (F.col("run_id") == upper) & diff.is_pdf(F.col("path")))
     return diff.reasons(diff.latest(listing), table(spark, sf_dir, "documents"), *(F.lit(x) for x in now))
 
 
+CHANGES = "path string, reason string"
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> tuple[int, int | None]:
+    """The last run that ended well, and the pending one."""
+    of = lambda outcome: F.max(F.when(F.col("outcome") == outcome, F.col("run_id").cast("long")))
+    ok, pending = table(spark, sf_dir, "scan_runs").agg(of("ok"), of("pending")).first()
+    return ok or 0, pending
+
+
+def changes_log(spark: SparkSession, sf_dir: str, name: str = "changes") -> incremental.CommitLog:
+    """The log of a store, which outlives the call. Its folder carries the state of the store's files: the tables here are
+    replaced as a whole, and a new set is another store."""
+    return incremental.CommitLog(spark, f"{shared_dir(spark)}/{name}-{fingerprint(spark, [f'{sf_dir}/{t}.parquet' for t in ('scan_runs', 'listing', 'documents')])}")
+
+
+def process_pending(spark: SparkSession, sf_dir: str, log: incremental.CommitLog) -> incremental.Commit | None:
+    """Process what lies between the log's watermark (at first the last run that ended well) and the pending run.
+
+    A second call finds its upper limit reached and commits nothing.
+    """
+    first, pending = _limits(spark, sf_dir)
+    return None if pending is None else incremental.run(log, lambda: pending, lambda lower, upper: run_changes(spark, sf_dir, lower, upper), first=first)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pending run must extract or delete, committed together with its number as watermark.
 
     The last run that ended well is the lower limit; a failed run moves no watermark, and what it stored
-    shows in ``documents``, so it is neither skipped nor repeated.
+    shows in ``documents``, so it is neither skipped nor repeated. The log is kept: called again, the query commits
+    nothing and returns what was committed.
     """
-    runs = table(spark, sf_dir, "scan_runs")
-    ends = runs.agg(F.max(F.expr("run_id").cast("long")).alias("any"), F.max(F.when(F.col("outcome") == "ok", F.col("run_id"))).alias("ok"), F.max(F.when(F.col("outcome") == "pending", F.col("run_id"))).alias("pending")).first()
-    schema = "path string, reason string"
-    if ends is None or ends["pending"] is None:
-        return spark.createDataFrame([], schema)
-    log = incremental.CommitLog(spark, f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}")
-    incremental.run(log, lambda: ends["pending"], lambda _, upper: run_changes(spark, sf_dir, upper), first=ends["ok"] or 0)
+    log = changes_log(spark, sf_dir)
+    process_pending(spark, sf_dir, log)
+    return incremental.committed(log, CHANGES)
+
+
+class Crash(RuntimeError):
+    """Stands for a lost executor or driver."""
+
+
+def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, path, size_bytes, mtime_ns): states of files as the runs that reached their end saw them first, each once.
+
+    All runs with a listing are processed in their order, every one called twice; those that failed die between writing
+    and committing. What such a run read is in the range of the next one; what it wrote is never seen.
+    """
+    log = changes_log(spark, sf_dir, "runs")
+    schema = "run_id int, path string, size_bytes long, mtime_ns long"
+
+    def work(lower: int, upper: int) -> DataFrame:
+        listing = table(spark, sf_dir, "listing").where((F.col("run_id") > lower) & (F.col("run_id") <= upper) & F.col("path").isNotNull())
+        return diff.latest(listing).select(F.lit(upper).cast("int").alias("run_id"), "path", "size_bytes", "mtime_ns")
+
+    def die(commit: incremental.Commit) -> None:
+        raise Crash
+
+    for run in table(spark, sf_dir, "scan_runs").orderBy("run_id").toLocalIterator():  # a run of the scanner each
+        for _ in range(2):
+            try:
+                incremental.run(log, lambda run=run: run["run_id"], work, before_commit=die if run["outcome"] == "failed" else None)
+            except Crash:
+                pass
     return incremental.committed(log, schema)
 
 
+P4_RUNS = """
+WITH done AS (SELECT run_id AS upper, coalesce(lag(run_id) OVER (ORDER BY run_id), 0) AS lower FROM scan_runs WHERE outcome <> 'failed')
+SELECT d.upper AS run_id, l.path, max_by(l.size_bytes, (l.seen_at, l.listing_id)) AS size_bytes, max_by(l.mtime_ns, (l.seen_at, l.listing_id)) AS mtime_ns
+FROM done d JOIN listing l ON l.run_id > d.lower AND l.run_id <= d.upper WHERE l.path IS NOT NULL GROUP BY d.upper, l.path
+"""
+
+
 P4_FOUND = """
 WITH run AS (SELECT * FROM scan_runs WHERE run_id = (SELECT max(run_id) FROM scan_runs WHERE outcome = 'pending')),
 seen AS (
@@ -124,6 +182,7 @@ _OVERLAY = f"""
 """
 SQL = {
     "p4_found": P4_FOUND,
+    "p4_runs": P4_RUNS,
     "scan_diff": f"WITH {_LISTED} SELECT path, reason FROM diff WHERE reason IS NOT NULL",
     "scan_counters": f"WITH {_LISTED} SELECT (SELECT count(*) FROM seen) AS seen, count_if(reason <> 'deleted')::BIGINT AS dirty, count_if(reason = 'deleted')::BIGINT AS deleted FROM diff WHERE reason IS NOT NULL",
     "latest_listing": "SELECT path, max_by(size_bytes, (seen_at, listing_id)) AS size_bytes, max_by(mtime_ns, (seen_at, listing_id)) AS mtime_ns, max_by(run_id, (seen_at, listing_id)) AS run_id FROM listing WHERE path IS NOT NULL GROUP BY path",
@@ -131,4 +190,4 @@ SQL = {
     "overlay_modify_visible": f"WITH {_OVERLAY} SELECT chunk_id, doc_id, page_no, chunk_ord, 0 AS src FROM items WHERE doc_id % 50 <> 0 AND doc_id % 40 <> 0 UNION ALL SELECT chunk_id, doc_id, page_no, chunk_ord, 1 FROM changed",
     "overlay_stats": f"WITH {_OVERLAY}, s AS (SELECT (SELECT count(*) FROM items) AS base_chunks, (SELECT count(*) FROM items WHERE doc_id % 50 = 0 OR doc_id % 40 = 0) AS tombstones, (SELECT count(*) FROM changed) AS overflow) SELECT base_chunks, tombstones, overflow, 2 AS generation, tombstones / greatest(base_chunks, 1)::DOUBLE AS ratio, overflow >= 10000 OR tombstones / greatest(base_chunks, 1)::DOUBLE >= 0.1 AS needs_rebuild FROM s",
 }
-QUERIES = {f.__name__: f for f in (p4_found, scan_diff, scan_counters, latest_listing, latest_event_per_key, overlay_modify_visible, overlay_stats)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, scan_diff, scan_counters, latest_listing, latest_event_per_key, overlay_modify_visible, overlay_stats)}

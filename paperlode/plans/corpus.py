@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -47,11 +47,19 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "path", "size_bytes", "mtime_ns", "extractor", "extractor_version", "norm_version", "status")
 
 
+def chunks_of(spark: SparkSession, sf_dir: str, doc_id: int) -> DataFrame:
+    """Active chunks of one document in order, whatever its status; the filter reaches the scan."""
+    rows = table(spark, sf_dir, "chunks").where(F.col("active") & (F.col("doc_id") == doc_id))
+    return rows.dropDuplicates(["chunk_id"]).orderBy("chunk_ord", "chunk_id").select("chunk_id", "doc_id", "page_no", "chunk_ord", "char_start", "char_end")
+
+
 def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active chunks of one document, whatever its status."""
-    chunks = table(spark, sf_dir, "chunks").where("active")
-    first = table(spark, sf_dir, "documents").agg(F.min("doc_id").alias("doc_id"))
-    return chunks.join(F.broadcast(first), "doc_id").dropDuplicates(["chunk_id"]).orderBy("chunk_ord", "chunk_id").select("chunk_id", "doc_id", "page_no", "chunk_ord", "char_start", "char_end")
+    """Active chunks of every document, whatever its status, with their place in its order.
+
+    Replays go first, by aggregates on narrow rows; places are counted among a document's rows, which spill if many.
+    """
+    rows = table(spark, sf_dir, "chunks").where("active").select("chunk_id", "doc_id", "page_no", "chunk_ord", "char_start", "char_end").distinct()
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_ord", "chunk_id")))
 
 
 def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +98,7 @@ SQL = {
     "preview_text": f"WITH {sx.ITEMS} SELECT chunk_id, {sx.preview('text_utf8')} AS preview FROM items",
     "active_chunks_join": f"WITH {sx.ITEMS} SELECT chunk_id, doc_id, path, filename, page_no, chunk_ord, doc_mtime_ns FROM items",
     "document_rows": "SELECT doc_id, path, size_bytes, mtime_ns, extractor, extractor_version, norm_version, status FROM documents",
-    "chunks_of_document": "SELECT DISTINCT chunk_id, doc_id, page_no, chunk_ord, char_start, char_end FROM chunks WHERE active AND doc_id = (SELECT min(doc_id) FROM documents)",
+    "chunks_of_document": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_ord, chunk_id)::INTEGER AS place FROM (SELECT DISTINCT chunk_id, doc_id, page_no, chunk_ord, char_start, char_end FROM chunks WHERE active)",
     "document_ranges": f"WITH {sx.ITEMS} SELECT doc_id, count(*) AS chunks, min_by(chunk_id, (chunk_ord, chunk_id)) AS first_chunk, max_by(chunk_id, (chunk_ord, chunk_id)) AS last_chunk FROM items GROUP BY doc_id",
     "status_counts": "SELECT status, count(*) AS documents FROM documents GROUP BY status",
     "pdf_listing": "SELECT DISTINCT path FROM listing WHERE regexp_matches(lower(path), '[^/]\\.pdf$')",

@@ -36,7 +36,7 @@ def literal_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literal_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.literal(snapshot(spark, sf_dir), PHRASE, LIMIT)
+    return search.literal(snapshot(spark, sf_dir), PHRASE, LIMIT, rank=True)
 
 
 def regex_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def regex_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regex_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.regex(snapshot(spark, sf_dir), PATTERN, LIMIT)
+    return search.regex(snapshot(spark, sf_dir), PATTERN, LIMIT, rank=True)
 
 
 def bigram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +156,22 @@ def _fuzzy_sql() -> str:
 
 
 _TERMS = PHRASE.split()
-_RANK = f"contains(lower(snippet), {_Q}) DESC, {' + '.join(f'contains(lower(snippet), {sx.literal(t)})::INTEGER' for t in _TERMS)} DESC"
+
+
+def _rank(query: str) -> str:
+    """The place of a shown hit: phrase, terms, earliest byte of the phrase or else of a term, page, document, chunk."""
+    low, terms = "lower(snippet)", [sx.literal(t) for t in query.split()]
+    byte = lambda t: f"(CASE WHEN contains({low}, {t}) THEN strlen(left({low}, strpos({low}, {t}) - 1)) ELSE 2147483647 END)"
+    whole = f"contains({low}, {sx.literal(query)})"
+    place = f"CASE WHEN {whole} THEN {byte(sx.literal(query))} ELSE least({', '.join(map(byte, terms))}) END"
+    return f"row_number() OVER (ORDER BY {whole} DESC, {' + '.join(f'contains({low}, {t})::INTEGER' for t in terms)} DESC, {place}, page_no, doc_id, chunk_id)::INTEGER AS rank"
+
 
 SQL = {
     "literal_search_hits": f"WITH {_FIRST} SELECT chunk_id, doc_id, page_no, chunk_ord, pos::INTEGER AS match_offset FROM found",
-    "literal_search_ranked": f"WITH {_FIRST}, {sx.snippets('top', sx.at_norm('pos'), str(_N))} SELECT {_HIT} FROM shown ORDER BY {_RANK}",
+    "literal_search_ranked": f"WITH {_FIRST}, {sx.snippets('top', sx.at_norm('pos'), str(_N))} SELECT {_HIT}, {_rank(PHRASE)} FROM shown",
     "regex_search_hits": f"WITH {_REGEX} SELECT chunk_id, doc_id, pos::INTEGER AS match_offset, len::INTEGER AS match_length FROM placed",
-    "regex_search_ranked": f"WITH {_REGEX}, top AS (SELECT * FROM placed ORDER BY doc_id, chunk_ord, chunk_id LIMIT {LIMIT}), {sx.snippets('top', 'pos', 'len')} SELECT {_HIT} FROM shown",
+    "regex_search_ranked": f"WITH {_REGEX}, top AS (SELECT * FROM placed ORDER BY doc_id, chunk_ord, chunk_id LIMIT {LIMIT}), {sx.snippets('top', 'pos', 'len')} SELECT {_HIT}, {_rank(PATTERN)} FROM shown",
     "bigram_document_frequency": f"WITH {sx.ITEMS}, {_GRAMS} SELECT skip, key, df FROM freq",
     "bigram_tracked_columns": f"WITH {sx.ITEMS}, {_GRAMS} SELECT skip, key, df FROM tracked",
     "literal_candidates": _literal_sql(),

@@ -76,13 +76,13 @@ def literal_matches(snapshot: Snapshot, needle: str) -> DataFrame:
     return snapshot.once(rows).withColumn("_at", F.octet_length(F.substring(norm, F.lit(1), F.instr(norm, F.lit(needle)) - 1)))
 
 
-def literal(snapshot: Snapshot, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Hits of a substring of the searchable text, ranked."""
+def literal(snapshot: Snapshot, query: str, limit: int = DEFAULT_LIMIT, rank: bool = False) -> DataFrame:
+    """Hits of a substring of the searchable text, in rank order; ``rank`` adds the place as a column."""
     needle = normalize_query(query)
     if not needle or limit <= 0:
         return snapshot.empty()
     rows = _first(literal_matches(snapshot, needle), limit)
-    return ranked(hit_columns(with_snippet_at_norm(rows, F.col("_at"), F.lit(len(needle)))), needle).select(*HITS.names)
+    return ranked(hit_columns(with_snippet_at_norm(rows, F.col("_at"), F.lit(len(needle)))), needle).select(*HITS.names, *([F.col("_rank").alias("rank")] if rank else []))
 
 
 def regex_matches(snapshot: Snapshot, query: str, prefilter: bool = False) -> DataFrame:
@@ -97,15 +97,15 @@ def regex_matches(snapshot: Snapshot, query: str, prefilter: bool = False) -> Da
     return rows.withColumn("_at", F.octet_length(F.substring(text, F.lit(1), at - 1))).withColumn("_length", F.octet_length(F.regexp_substr(text, F.lit(java))))
 
 
-def regex(snapshot: Snapshot, query: str, limit: int = DEFAULT_LIMIT, prefilter: bool = False) -> DataFrame:
-    """Hits of a pattern in the text itself, ranked by the raw pattern as phrase.
+def regex(snapshot: Snapshot, query: str, limit: int = DEFAULT_LIMIT, prefilter: bool = False, rank: bool = False) -> DataFrame:
+    """Hits of a pattern in the text itself, ranked by the raw pattern as phrase; ``rank`` adds the place as a column.
 
     Every live chunk is verified unless ``prefilter`` is set, whose test no match can fail.
     """
     if not query.strip() or limit <= 0:
         return snapshot.empty()
     rows = _first(regex_matches(snapshot, query, prefilter), limit)
-    return ranked(hit_columns(with_snippet(rows, F.col("_at"), F.coalesce("_length", F.lit(0)))), query).select(*HITS.names)
+    return ranked(hit_columns(with_snippet(rows, F.col("_at"), F.coalesce("_length", F.lit(0)))), query).select(*HITS.names, *([F.col("_rank").alias("rank")] if rank else []))
 
 
 def filename_documents(snapshot: Snapshot, needle: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Store, extraction, live index."""
 
+import datetime
 import os
 import time
 
@@ -10,6 +11,7 @@ from paperlode.operators import incremental
 from paperlode.operators.extract import documents_of, error_text, plain_text
 from paperlode.operators.ids import numbered
 from paperlode.operators.store import Store
+from paperlode.plans import changes
 from paperlode.sources.files import PdfFiles, is_pdf, store_path, walk
 from paperlode.streaming.live import LiveIndex, Options
 
@@ -128,3 +130,45 @@ def test_live_index(spark, tmp_path):
     finally:
         query.stop()
     assert live.progress.ok >= 3 and live.progress.deleted == 1
+
+
+def _changes_store(spark, tmp_path):
+    """A store of three tables, its pending run after a failed one."""
+    at = datetime.datetime(2024, 1, 1)
+    runs = [(1, "ok", "x", "1", 1), (2, "failed", "x", "2", 1), (3, "pending", "x", "2", 1)]
+    listing = [(1, 2, "/a.pdf", 1, 1, at), (2, 2, "/b.PDF", 1, 1, at), (3, 3, "/a.pdf", 2, 1, at), (4, 3, "/c.pdf", 1, 1, at), (5, 3, "/d.txt", 1, 1, at), (4, 3, "/c.pdf", 1, 1, at)]
+    documents = [("/a.pdf", "ok", 1, 1, "x", "2", 1), ("/e.pdf", "ok", 1, 1, "x", "1", 1), ("/f.pdf", "deleted", 1, 1, "x", "1", 1)]
+    spark.createDataFrame(runs, "run_id int, outcome string, extractor string, extractor_version string, norm_version long").write.parquet(f"{tmp_path}/scan_runs.parquet")
+    spark.createDataFrame(listing, "listing_id long, run_id int, path string, size_bytes long, mtime_ns long, seen_at timestamp").write.parquet(f"{tmp_path}/listing.parquet")
+    spark.createDataFrame(documents, "path string, status string, size_bytes long, mtime_ns long, extractor string, extractor_version string, norm_version long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_the_watermark_lives(spark, tmp_path):
+    """A run that dies before its commit leaves nothing; the next does the work once; a further one does nothing."""
+    folder = _changes_store(spark, tmp_path / "store")
+    log = incremental.CommitLog(spark, str(tmp_path / "log"))
+    expected = {("/a.pdf", "modified"), ("/c.pdf", "new"), ("/e.pdf", "deleted")}
+
+    def die(_):
+        raise changes.Crash
+
+    with pytest.raises(changes.Crash):
+        incremental.run(log, lambda: 3, lambda a, b: changes.run_changes(spark, folder, a, b), first=1, before_commit=die)
+    assert log.last() is None and incremental.committed(log, changes.CHANGES).count() == 0
+    first = changes.process_pending(spark, folder, log)
+    assert (first.sequence, first.lower, first.upper) == (1, 1, 3)
+    assert changes.process_pending(spark, folder, log) == first and len(log.commits()) == 1
+    assert sorted(map(tuple, incremental.committed(log, changes.CHANGES).collect())) == sorted(expected)
+    # below the watermark nothing is read again
+    assert changes.run_changes(spark, folder, 3, 3).count() == 0
+
+
+def test_registered_changes_keep_their_log(spark, tmp_path):
+    folder = _changes_store(spark, tmp_path)
+    once, twice = ({tuple(r) for r in changes.p4_found(spark, folder).collect()} for _ in range(2))
+    assert once == twice == {("/a.pdf", "modified"), ("/c.pdf", "new"), ("/e.pdf", "deleted")}
+    assert len(changes.changes_log(spark, folder).commits()) == 1
+    runs = {tuple(r) for r in changes.p4_runs(spark, folder).collect()}
+    assert runs == {(3, "/a.pdf", 2, 1), (3, "/b.PDF", 1, 1), (3, "/c.pdf", 1, 1), (3, "/d.txt", 1, 1)}
+    assert [(c.lower, c.upper) for c in changes.changes_log(spark, folder, "runs").commits()] == [(0, 1), (1, 3)]
