@@ -4,11 +4,12 @@ Words are maximal runs of letters and digits in lower case. A leak of an item wi
 L = ceil(n * share) of its successive words in a document, up to ``errors`` word edits. The item is split
 into pieces of m = (L + 1) // (errors + 2) words, so any such run spans errors + 1 whole pieces and one of
 them stands in the document unedited. Exact piece hits come from rolling hashes of a whole Arrow batch;
-around each, Myers' algorithm (1999), over words, gives the least distance of a run; the longest exact run
-is reported too.
+around each, Myers' algorithm (1999), over words, verifies the runs that may lie within the budget; of the verified ones
+the longest exact run is reported too.
 
-The items are the query set: they go to every task in blocks of ``block`` items, so what is sent has a
-bound at any number of items. Documents are read once per block and never shuffled.
+The items are the query set: they go to every task in blocks of at most ``block`` items and ``block_words`` words (an item
+longer than that has a block of its own), so what is sent has a bound at any number of items. Documents are read once
+per block and never shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ class Leak:
     share: float = 0.5
     errors: int = 1
     block: int = 20_000
+    block_words: int = 2_000_000
 
 
 def distance(pattern: list[int], text: list[int]) -> int:
@@ -61,39 +63,31 @@ def distance(pattern: list[int], text: list[int]) -> int:
 
 @dataclass
 class Items:
-    """Items of one block, as word hashes, with their pieces by length."""
+    """Items of one block: word hashes of all in one array (item i: ``words[first[i]:first[i + 1]]``), and their pieces by length."""
 
     ids: np.ndarray
-    words: list[np.ndarray]
-    need: list[int]
+    words: np.ndarray
+    first: np.ndarray
+    need: np.ndarray
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> sorted hashes, item, place in the item
 
-    def __post_init__(self) -> None:
-        self.size = np.array([len(w) for w in self.words], np.int64)
-        self.need_of = np.array(self.need, np.int64)
-        self.matrix = np.zeros((len(self.words), int(self.size.max(initial=0))), np.uint64)
-        for i, w in enumerate(self.words):
-            self.matrix[i, : len(w)] = w
-
     @classmethod
     def of(cls, ids: list[int], passages: list[str | None], spec: Leak) -> Items:
-        codes, offsets = cp.to_codes(pa.array(passages, pa.string()))
-        row, h = cp.word_hashes(codes, offsets)
-        words = [h[row == i] for i in range(len(ids))]
-        need = [int(np.ceil(len(w) * spec.share)) for w in words]
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for i, (w, n) in enumerate(zip(words, need)):
-            m = min(n, max(1, (n + 1) // (spec.errors + 2)))
-            if m:
-                for at in range(0, len(w) - m + 1, m):
-                    by.setdefault(m, []).append((int(cp.windows(w[at : at + m], m)[0]), i, at))
+        row, words = cp.word_hashes(*cp.to_codes(pa.array(passages, pa.string())))
+        first = np.searchsorted(row, np.arange(len(ids) + 1))
+        size = np.diff(first)
+        need = np.ceil(size * spec.share).astype(np.int64)
+        length = np.minimum(need, np.maximum(1, (need + 1) // (spec.errors + 2)))
         pieces = {}
-        for m, found in by.items():
-            table = np.array([x[1:] for x in found], np.int64)
-            h = np.array([x[0] for x in found], np.uint64)
+        for m in np.unique(length[length > 0]).tolist():
+            mine = np.flatnonzero(length == m)
+            count = size[mine] // m
+            item = np.repeat(mine, count)
+            at = (np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)) * m
+            h = cp.windows(words, m)[first[item] + at]
             order = np.argsort(h, kind="stable")
-            pieces[m] = h[order], table[order, 0], table[order, 1]
-        return cls(np.array(ids, np.int64), words, need, pieces)
+            pieces[m] = h[order], item[order], at[order]
+        return cls(np.array(ids, np.int64), words, first, need, pieces)
 
 
 def _hits(h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
@@ -114,44 +108,56 @@ def _hits(h: np.ndarray, row: np.ndarray, items: Items) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
-def _promising(h: np.ndarray, bounds: np.ndarray, hits: np.ndarray, items: Items, spec: Leak) -> np.ndarray:
-    """Hits around which some run of the item can lie within the budget: none within it is dropped.
+def _promising(h: np.ndarray, bounds: np.ndarray, hits: np.ndarray, items: Items, spec: Leak) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(row, item, shift, starts) of the hits around which runs of the item can lie within the budget, and where in the
+    item these runs begin: none within it is dropped.
 
-    A run with up to e edits keeps all but e of its words on diagonals at most e apart; the words found
-    there are counted for all hits and all runs at once.
+    A run with up to e edits keeps all but e of its words on diagonals at most e apart; the words found there are
+    counted for all hits and all runs at once, over flat arrays.
     """
-    keep = []
-    for part in np.array_split(hits, max(1, len(hits) * items.matrix.shape[1] // (1 << 20))):
-        row, item, shift = part.T
-        n, need = items.size[item], items.need_of[item]
-        k = np.arange(items.matrix.shape[1])
-        there = np.zeros((len(part), len(k)), bool)
+    size = np.diff(items.first)
+    ends = np.cumsum(size[hits[:, 1]])
+    done = 0
+    while done < len(hits):
+        before = ends[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, before + (1 << 20), side="right")))
+        part, n = hits[done:upto], size[hits[done:upto, 1]]
+        done = upto
+        at = np.concatenate([[0], np.cumsum(n)])
+        hit = np.repeat(np.arange(len(part)), n)
+        k = np.arange(at[-1]) - at[hit]
+        row, item, shift = part[hit].T
+        word = items.words[items.first[item] + k]
+        there = np.zeros(len(k), bool)
         for delta in range(-spec.errors, spec.errors + 1):
-            at = shift[:, None] + k + delta
-            inside = (at >= bounds[row][:, None]) & (at < bounds[row + 1][:, None]) & (k < n[:, None])
-            there |= inside & (h[np.clip(at, 0, len(h) - 1)] == items.matrix[item])
-        total = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(there, axis=1)], axis=1)
-        end = np.arange(total.shape[1]) + need[:, None]
-        runs = np.take_along_axis(total, np.minimum(end, n[:, None]), axis=1) - total
-        keep.append(part[(np.where(end <= n[:, None], runs, -1).max(axis=1, initial=-1)) >= need - spec.errors])
-    return np.concatenate(keep)
-
-
-def _judge(h: np.ndarray, lo: int, hi: int, shift: int, words: np.ndarray, need: int, spec: Leak) -> tuple[int, int]:
-    """(least distance of a run of ``need`` words of the item, longest exact run) where word 0 lies at ``shift``.
-
-    Words lo..hi of ``h`` are the document.
-    """
+            place = shift + k + delta
+            inside = (place >= bounds[row]) & (place < bounds[row + 1])
+            there |= inside & (h[np.clip(place, 0, len(h) - 1)] == word)
+        total = np.concatenate([[0], np.cumsum(there)])
+        need = items.need[item]
+        fits = k + need <= n[hit]
+        begin = np.arange(len(k))
+        found = total[np.where(fits, begin + need, begin)] - total[begin]
+        good = np.flatnonzero(fits & (found >= need - spec.errors))
+        good = good[np.lexsort((-found[good], hit[good]))]  # of each hit the fullest run first
+        which, starts = np.unique(hit[good], return_index=True)
+        for w, run in zip(which.tolist(), np.split(k[good], starts[1:])):
+            yield (*part[w].tolist(), run)
+
+
+def _judge(h: np.ndarray, lo: int, hi: int, shift: int, words: np.ndarray, need: int, starts: np.ndarray, spec: Leak) -> tuple[int, int]:
+    """(least distance of a run of ``need`` words of the item that begins at ``starts``, longest exact run) where word 0 lies
+    at ``shift``. Words lo..hi of ``h`` are the document."""
     n = len(words)
+    text = h[max(lo, shift - spec.errors) : max(lo, min(hi, shift + n + spec.errors))].tolist()
+    best = need
+    for j in starts.tolist():
+        best = min(best, distance(words[j : j + need].tolist(), text))
+        if not best:
+            break
     a, b = max(0, lo - shift), min(n, hi - shift)
     apart = np.concatenate([[a - 1], np.flatnonzero(words[a:b] != h[shift + a : shift + b]) + a, [b]])
-    run = int(np.diff(apart).max()) - 1
-    if run >= need:
-        return 0, run
-    if not spec.errors:
-        return need, run
-    text = h[max(lo, shift - spec.errors) : min(hi, shift + n + spec.errors)].tolist()
-    return min(distance(words[j : j + need].tolist(), text) for j in range(n - need + 1)), run
+    return best, int(np.diff(apart).max()) - 1
 
 
 def leaks(documents: DataFrame, items: DataFrame, spec: Leak = Leak()) -> DataFrame:
@@ -175,15 +181,15 @@ def leaks(documents: DataFrame, items: DataFrame, spec: Leak = Leak()) -> DataFr
                     row, h = cp.word_hashes(*cp.to_codes(batch.column("text")))
                     bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
                     best: dict[tuple[int, int], tuple[int, int]] = {}
-                    for r, i, shift in _promising(h, bounds, _hits(h, row, known), known, spec).tolist():
-                        d, n = _judge(h, int(bounds[r]), int(bounds[r + 1]), shift, known.words[i], known.need[i], spec)
+                    for r, i, shift, starts in _promising(h, bounds, _hits(h, row, known), known, spec):
+                        d, n = _judge(h, int(bounds[r]), int(bounds[r + 1]), shift, known.words[known.first[i] : known.first[i + 1]], int(known.need[i]), starts, spec)
                         if d <= spec.errors:
                             old = best.get((r, i), (d, n))
                             best[r, i] = min(d, old[0]), max(n, old[1])
                     at = np.array(list(best), np.int64).reshape(-1, 2)
                     value = np.array(list(best.values()), np.int32).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(at[:, 0])), pa.array(known.ids[at[:, 1]]), pa.array(value[:, 0]), pa.array(value[:, 1]), pa.array(np.array(known.need, np.int32)[at[:, 1]])],
+                        [batch.column("doc_id").take(pa.array(at[:, 0])), pa.array(known.ids[at[:, 1]]), pa.array(value[:, 0]), pa.array(value[:, 1]), pa.array(known.need[at[:, 1]].astype(np.int32))],
                         ["doc_id", "item_id", "distance", "run", "need"],
                     )
 
@@ -194,10 +200,14 @@ def leaks(documents: DataFrame, items: DataFrame, spec: Leak = Leak()) -> DataFr
             blocks.append(scan(Items.of([r.item_id for r in block], [r.passage for r in block], spec)))
             block.clear()
 
+    size = 0
     for r in rows:
-        block.append(r)
-        if len(block) == spec.block:
+        n = len(r.passage) // 2 + 1  # words at most
+        if block and (len(block) == spec.block or size + n > spec.block_words):
             close()
+            size = 0
+        block.append(r)
+        size += n
     close()
     if not blocks:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, run int, need int")

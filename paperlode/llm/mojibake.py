@@ -42,7 +42,8 @@ MORE = (
     "iso8859-13", "iso8859-14", "iso8859-15", "iso8859-16", "koi8-r", "koi8-u", "mac_cyrillic", "mac_greek", "mac_latin2", "mac_turkish", "cp737", "cp775", "cp852", "cp855", "cp857", "cp862", "cp866", "latin-1",
 )
 LOST = "�"
-ITERATIONS = 12
+#: Iterations at most, and the change of a share below which they end.
+ITERATIONS, CONVERGED = 100, 1e-4
 #: Odds of garbled against meant before any evidence, of a single character.
 PRIOR = 0.01
 #: Odds of a letter that no known pair of pages explains against one that is explained.
@@ -340,8 +341,10 @@ def learn(table: pd.DataFrame, model: Bigrams) -> pd.DataFrame:
         for _ in range(ITERATIONS):
             post = like * theta
             post /= post.sum(axis=1, keepdims=True)
-            theta = (post * n).sum(axis=0) + 0.05
+            before, theta = theta, (post * n).sum(axis=0) + 0.05
             theta /= theta.sum()
+            if np.abs(theta - before).max() < CONVERGED:
+                break
         best = post[:, len(meant) :].argmax(axis=1) + len(meant)
         unchanged = post[:, : len(meant)].sum(axis=1)
         for l, r, p, b in zip(rows["l"], rows["r"], unchanged, best):  # noqa: E741
@@ -385,7 +388,7 @@ def weight(symbol: str, letter: str, l: int, r: int) -> int:  # noqa: E741
 
 def bigrams(found: DataFrame) -> Bigrams:
     """The corpus counts. Symbols come from a fixed inventory of some 12,000 and the characters below U+2C00, and contexts are 128 classes, so what is collected has a bound at any corpus size."""
-    body = found.where("body")
+    body = written(found.where("body").groupBy("symbol", "l", "r").agg(F.sum("n").alias("n")))
     side = lambda c: {(r["symbol"], r["c"]): float(r["n"]) for r in body.groupBy("symbol", F.col(c).alias("c")).agg(F.sum("n").alias("n")).toLocalIterator()}
     return Bigrams(side("l"), side("r"))
 

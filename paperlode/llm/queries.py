@@ -33,6 +33,12 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(firsts, "look").select("chunk_id", "class_id", "forms")
 
 
+def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership of equal texts among chunks with a look of several forms: what p1_found doesn't write out copy by copy."""
+    rows = unify.look_members(written(unify.look_classes(active_chunks(spark, sf_dir))))
+    return rows.select("chunk_id", "form_id", F.col("n").alias("copies"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(active_chunks(spark, sf_dir))
 
@@ -65,6 +71,21 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.chunk_pieces(active_chunks(spark, sf_dir))
 
 
+def p6_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized chunk put together again from its pieces, which were cut in ranges of 1,000 bytes and stitched."""
+    spec = split.Split(range_bytes=1000)
+    pieces = split.split_text(written(split.oversized(active_chunks(spark, sf_dir))), "chunk_id", "text_utf8", spec)
+    return split.rejoined(pieces, "chunk_id").select("chunk_id", F.col("text").alias("text_utf8"))
+
+
+def p6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, pieces, least, most, overlap): number and sizes of the pieces cut in ranges of 1,000 bytes."""
+    spec = split.Split(range_bytes=1000)
+    pieces = split.split_text(written(split.oversized(active_chunks(spark, sf_dir))), "chunk_id", "text_utf8", spec)
+    size = F.col("last_char") - F.col("first_char")
+    return pieces.groupBy("chunk_id").agg((F.max("piece") + 1 - F.count(F.lit(1))).cast("int").alias("missing"), F.max("last_char").alias("chars"), F.count_if(size > spec.limit).alias("too_long"), (F.sum(size) - F.max("last_char") - spec.overlap * F.max("piece")).alias("overlap_off"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.where("run >= need").select("doc_id", "item_id")
@@ -75,6 +96,16 @@ def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance): leaks of items in which a word of each half was replaced, so that no run of half the item
+    stands anywhere unedited and the verified distance alone decides."""
+    words = F.regexp_extract_all(F.lower("passage"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    n, half = F.size("w"), F.ceil(F.size("w") / 2)
+    edited = F.transform("w", lambda x, i: F.when((i == half - 1) | (n % 2 == 0) & (i == n - 1), F.lit("zzqx")).otherwise(x))
+    items = table(spark, sf_dir, "eval_items").select("item_id", words.alias("w")).select("item_id", F.array_join(edited, " ").alias("passage"))
+    return leak.leaks(table(spark, sf_dir, "documents"), items).select("doc_id", "item_id", "distance")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(table(spark, sf_dir, "documents"))
 

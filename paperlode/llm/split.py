@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from ..functions import codepoints as cp
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -277,7 +278,7 @@ def chunk_pieces(chunks: DataFrame, spec: Split = Split()) -> DataFrame:
     chunk_ord counts on from the row's own, and rows after it on the page move up; char_start and char_end
     are byte offsets in the page, on top of the row's own start.
     """
-    rows = oversized(chunks, spec)
+    rows = written(oversized(chunks, spec))
     pieces = split_text(rows, "chunk_id", "text_utf8", spec)
     before = Window.partitionBy("doc_id", "page_no").orderBy("chunk_ord", "chunk_id", "piece")
     return (
@@ -293,4 +294,14 @@ def chunk_pieces(chunks: DataFrame, spec: Split = Split()) -> DataFrame:
 
 def found(chunks: DataFrame, spec: Split = Split()) -> DataFrame:
     """(chunk_id) of chunks that come out in more than one piece."""
-    return split_text(oversized(chunks, spec), "chunk_id", "text_utf8", spec).where("piece = 1").select("chunk_id")
+    return split_text(written(oversized(chunks, spec)), "chunk_id", "text_utf8", spec).where("piece = 1").select("chunk_id")
+
+
+def rejoined(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, text): the items again, from pieces as :func:`split_ranges` gives them, each without what the one before it holds.
+
+    The pieces of an item come together: its whole text is one value of the result.
+    """
+    before = F.lag("last_char").over(Window.partitionBy(key).orderBy("piece"))
+    own = F.substring(F.col("text"), (F.coalesce(before - F.col("first_char"), F.lit(0)) + 1).cast("int"), F.length("text"))
+    return pieces.withColumn("own", own).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda p: p["own"]), "").alias("text"))

@@ -193,13 +193,31 @@ def look_classes(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Copies up to which a group of equal texts takes part in pairs row by row; of a larger one two copies stand for it.
+FEW = 64
+
+
+def look_members(rows: DataFrame) -> DataFrame:
+    """Rows as :func:`look_classes` gives them, of looks with several forms, with the number of copies of the form (n), the
+    smallest chunk_id among them (form_id), and whether the chunk takes part in pairs (stands).
+
+    In a form with up to ``FEW`` copies all do; in a larger one the copies of the lowest and of the highest document stand
+    for the rest. Both are aggregates that combine before the shuffle, joined back, so hot looks and forms may be split.
+    """
+    several = rows.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).where("_lo <> _hi").select("look")
+    mixed = rows.join(several, "look")
+    member = F.struct("doc_id", "chunk_id")
+    forms = mixed.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("form_id"), F.min(member)["chunk_id"].alias("_first"), F.max(member)["chunk_id"].alias("_last"))
+    stands = (F.col("n") <= FEW) | F.col("chunk_id").isin(F.col("_first"), F.col("_last"))
+    return mixed.join(forms, "form").select("look", "form", "chunk_id", "doc_id", "n", "form_id", stands.alias("stands"))
+
+
 def same_look_pairs(chunks: DataFrame) -> DataFrame:
     """Pairs of chunks of different documents whose text looks the same but isn't equal.
 
-    Copies with equal characters are no pair, so a group of exact copies adds nothing however large; classes of
-    one form are found by an aggregate that combines before the shuffle, and dropped.
+    Copies with equal characters are no pair, so a group of exact copies adds nothing however large; classes of one form are
+    dropped by an aggregate that combines before the shuffle. Of a form with more than ``FEW`` copies two stand for the
+    rest (:func:`look_members` has the membership); between different texts no link is left out.
     """
-    rows = written(look_classes(chunks))
-    several = rows.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).where("_lo <> _hi").select("look")
-    mixed = rows.join(several, "look").select("look", "chunk_id", "doc_id", "form")
-    return key_pairs(mixed, ["look"], "chunk_id", (F.col("a.form") != F.col("b.form")) & (F.col("a.doc_id") != F.col("b.doc_id"))).select(F.col("a.chunk_id").alias("chunk_id_a"), F.col("b.chunk_id").alias("chunk_id_b")).distinct()
+    rows = look_members(written(look_classes(chunks))).where("stands").select("look", "chunk_id", "doc_id", "form")
+    return key_pairs(rows, ["look"], "chunk_id", (F.col("a.form") != F.col("b.form")) & (F.col("a.doc_id") != F.col("b.doc_id"))).select(F.col("a.chunk_id").alias("chunk_id_a"), F.col("b.chunk_id").alias("chunk_id_b")).distinct()

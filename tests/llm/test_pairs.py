@@ -149,3 +149,15 @@ def test_null_ids(spark):
     assert spans.shared_pairs(df, spans.Spans(least=60, k=20)).count() >= 0 and spans.shared_length(df, spans.Spans(least=60, k=20)).count() >= 2
     spec = neardup.NearDup(words=2, similarity=0.9, rows=2, bands=8)
     assert (2, 3) in [tuple(r) for r in neardup.near_pairs(df, spec).collect()] and neardup.near_groups(df, spec).where("doc_id IS NULL").count() == 0
+
+
+def test_two_copies_stand_for_many_that_look_the_same(spark, monkeypatch):
+    """Two forms of one look with many copies each: no pair of copies is written out, no link between forms is lost."""
+    monkeypatch.setattr(unify, "FEW", 3)
+    rows = [(n, n, "naïve form") for n in range(20)] + [(100 + n, 100 + n, "naïve form") for n in range(15)] + [(200, 200, "naïve form"), (300, 300, "other"), (301, 301, "other")]
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id long, text_utf8 string")
+    got = {tuple(r) for r in unify.same_look_pairs(df).collect()}
+    ends = [(0, 19), (100, 114), (200,)]
+    assert got == {(a, b) for i, x in enumerate(ends) for y in ends[i + 1 :] for a in x for b in y}
+    members = {r["chunk_id"]: (r["form_id"], r["n"]) for r in unify.look_members(unify.look_classes(df)).collect()}
+    assert members == {n: (0, 20) for n in range(20)} | {100 + n: (100, 15) for n in range(15)} | {200: (200, 1)}

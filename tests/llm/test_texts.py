@@ -187,6 +187,34 @@ def test_leaks(spark):
     assert leak.leaks(df, items.limit(0)).count() == 0 and leak.leaks(df.limit(0), items).count() == 0
 
 
+def test_leaks_equal_brute_force(spark):
+    """Documents made of edited and exact parts of items, items of one word and items longer than a document."""
+    rnd = random.Random(12)
+    word = lambda: rnd.choice("ab cd ef gh ij kl".split())
+    items = {i: [word() for _ in range(rnd.choice([1, 2, 3, 6, 7, 12, 13, 30]))] for i in range(24)}
+    docs = {}
+    for d in range(60):
+        text = [word() for _ in range(rnd.randint(0, 12))]
+        part = list(rnd.choice(list(items.values())))
+        part = part[rnd.randint(0, 3) :]
+        if part and rnd.random() < 0.7:
+            at = rnd.randrange(len(part))
+            part[at : at + rnd.randint(0, 1)] = rnd.choice([[], ["zz"], ["zz", "yy"]])
+        docs[d] = text + part + [word() for _ in range(rnd.randint(0, 5))]
+    got = leak.leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, passage string"))
+    expected = {}
+    for d, text in docs.items():
+        for i, w in items.items():
+            need = -(-len(w) // 2)
+            best = min(reference_distance(w[j : j + need], text) for j in range(len(w) - need + 1))
+            if best <= 1 and (need > 1 or best == 0):
+                expected[d, i] = best
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in got.collect()}
+    assert {k: v for k, v in found.items() if v == 0} == {k: v for k, v in expected.items() if v == 0}
+    long = {k for k in expected if len(items[k[1]]) > 2}
+    assert {k for k in found if len(items[k[1]]) > 2} == long and all(found[k] == expected[k] for k in long)
+
+
 # -- statistics
 
 PROSE = "The committee revised the report in the spring, because the harbour had changed.\nIt was not an easy task, but the work of the clerks was careful and good.\n"
