@@ -54,7 +54,7 @@ class Ocr:
     contrast: float = 10.0
     known: float = 20.0
     lines: int = 2
-    shard: int = 20_000
+    shard: int = 5_000
     stretch: int = 64
 
 
@@ -347,7 +347,9 @@ def corrections(forms: DataFrame, words: DataFrame, spec: Ocr) -> DataFrame:
                         out.add((form, word, printed, read, n, count[word], scan))
         return pd.DataFrame(list(out), columns=["form", "word", "printed", "read", "n_form", "n_word", "scan"])
 
-    found = f.select(bucket, "key", "text", "n", "scan").groupBy("bucket").cogroup(w.select(bucket, "key", "text", "n").groupBy("bucket")).applyInPandas(look, "form string, word string, printed string, read string, n_form long, n_word long, scan boolean")
+    # as many partitions as buckets: little data, but work
+    spread = lambda rows: rows.repartition(buckets, "bucket").groupBy("bucket")
+    found = spread(f.select(bucket, "key", "text", "n", "scan")).cogroup(spread(w.select(bucket, "key", "text", "n"))).applyInPandas(look, "form string, word string, printed string, read string, n_form long, n_word long, scan boolean")
     return found.distinct()
 
 
@@ -448,7 +450,9 @@ def repairs(chunks: DataFrame, spec: Ocr = Ocr()) -> Repairs:
     seen = words.join(scan, "word", "full_outer").select(F.col("word").alias("form"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("scan", F.lit(False)).alias("scan"))
     most = words.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]  # a form that frequent can't be misread
     looked = written(seen.where((F.col("n") * spec.ratio <= most) & (F.col("scan") | (F.col("n") <= 2) & F.expr("length(form) > 1 AND form RLIKE '[^0-9]'"))))
-    near = written(corrections(looked, words.where("length(word) > 1 AND word RLIKE '[^0-9]'"), spec))
+    # a word counts if it is frequent, or used in a scan; for the rare words of other documents only frequent ones do
+    known = written(words.where("length(word) > 1 AND word RLIKE '[^0-9]'").join(tokens.select(F.col("form").alias("word"), F.lit(True).alias("used")).distinct(), "word", "left").where(F.col("used") | (F.col("n") >= spec.ratio)))
+    near = written(corrections(looked.where("scan"), known, spec).unionByName(corrections(looked.where("NOT scan"), known.where(F.col("n") >= spec.ratio), spec)))
     docs = pages.select("doc_id").distinct().join(scans.withColumn("scan", F.lit(True)), "doc_id", "left")
     sizes = docs.agg(F.count("scan").alias("n_scan"), F.count_if(F.col("scan").isNull()).alias("n_other"))
     scanned = near.where("scan")
