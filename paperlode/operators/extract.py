@@ -60,13 +60,18 @@ def error_text(code: int | None, errors: str, tool: str = TOOL) -> str:
 def extract(files: DataFrame, extractor: Extractor = run_tool, name: str = TOOL, version: str = "unknown") -> DataFrame:
     """Extracted documents of (path, size_bytes, mtime_ns, dev, ino, content), as :data:`~paperlode.schema.EXTRACTED`.
 
-    A file that fails has status error and what was said; one without visible text is empty, with no pages.
+    A file that fails has status error and what was said; one without visible text is empty, with no pages. Where a column
+    ``failure`` says why a file couldn't be read, that is its error.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, failures = [], []
-            for content in batch.column("content"):
+            for content, failure in zip(batch.column("content"), batch.column("failure").to_pylist()):
+                if failure is not None:
+                    failures.append(failure)
+                    texts.append(None)
+                    continue
                 try:
                     out = extractor(content.as_py() or b"")
                 except OSError as e:
@@ -74,10 +79,11 @@ def extract(files: DataFrame, extractor: Extractor = run_tool, name: str = TOOL,
                 failed = out.code != 0
                 failures.append(error_text(out.code, out.errors, name) if failed else None)
                 texts.append(None if failed else out.text.decode("utf-8", "replace"))
-            kept = [c for c in batch.schema.names if c != "content"]
+            kept = [c for c in batch.schema.names if c not in ("content", "failure")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(failures, pa.string())], [*kept, "text", "error_text"])
 
-    rows = files.select("path", "size_bytes", "mtime_ns", "dev", "ino", "content")
+    failure = F.col("failure") if "failure" in files.columns else F.lit(None).cast("string").alias("failure")
+    rows = files.select("path", "size_bytes", "mtime_ns", "dev", "ino", "content", failure)
     read = rows.mapInArrow(run, "path string, size_bytes long, mtime_ns long, dev long, ino long, text string, error_text string")
     return documents_of(read, name, version)
 

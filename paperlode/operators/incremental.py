@@ -26,6 +26,7 @@ class Commit:
     lower: int
     upper: int
     output: str | None
+    note: dict | None = None  # what the writer wants to find again without reading the output
 
 
 class CommitLog:
@@ -54,13 +55,22 @@ class CommitLog:
         """All commits, oldest first."""
         return [self._read(n) for n in self._names()]
 
+    def since(self, enough: Callable[[Commit], bool]) -> list[Commit]:
+        """The latest commit for which ``enough`` holds and those after it, oldest first; older ones aren't read."""
+        out: list[Commit] = []
+        for name in reversed(self._names()):
+            out.append(self._read(name))
+            if enough(out[-1]):
+                break
+        return out[::-1]
+
     def last(self) -> Commit | None:
         names = self._names()
         return self._read(names[-1]) if names else None
 
-    def commit(self, after: Commit | None, upper: int, output: str | None, lower: int = 0) -> Commit:
+    def commit(self, after: Commit | None, upper: int, output: str | None, lower: int = 0, note: dict | None = None) -> Commit:
         """Publish limit and output together, as the commit next to ``after`` (``lower``: the limit where there is none)."""
-        new = Commit(after.sequence + 1 if after else 1, after.upper if after else lower, upper, output)
+        new = Commit(after.sequence + 1 if after else 1, after.upper if after else lower, upper, output, note)
         aside = self._path(f"{self.root}/log/.{uuid.uuid4().hex}")
         stream = self._fs.create(aside, False)
         stream.write(json.dumps(asdict(new)).encode())

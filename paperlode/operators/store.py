@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..schema import CHUNKS, DOCUMENTS
 from ..session import written
 from .ids import numbered
-from .incremental import CommitLog
+from .incremental import Commit, CommitLog
 
 SNAPSHOT, DELTA = 1, 0
 #: A stored document row: with the layer of its chunks.
@@ -44,9 +44,7 @@ class Store:
 
     def _layers(self) -> list[tuple[int, str]]:
         """(sequence, folder) of the commits a read merges: from the last snapshot on."""
-        commits = self.log.commits()
-        first = max((i for i, c in enumerate(commits) if c.upper == SNAPSHOT), default=0)
-        return [(c.sequence, c.output) for c in commits[first:] if c.output]
+        return [(c.sequence, c.output) for c in self.log.since(lambda c: c.upper == SNAPSHOT) if c.output]
 
     def _read(self, name: str, layers: list[tuple[int, str]]) -> DataFrame:
         """All rows of the layers, documents with ``_seq``, chunks with ``layer``."""
@@ -85,7 +83,19 @@ class Store:
         own = F.coalesce(F.col("layer"), F.lit(layer)) if "layer" in documents.columns else F.lit(layer)
         documents.withColumn("layer", own).select(*_STORED.names).write.parquet(f"{folder}/documents")
         (self.spark.createDataFrame([], CHUNKS) if chunks is None else chunks.select(*CHUNKS.names)).write.parquet(f"{folder}/chunks")
-        self.log.commit(last, kind, folder)
+        top = self._top(last)
+        new = [(folder, "documents", "doc_id"), *([] if chunks is None else [(folder, "chunks", "chunk_id")])]
+        for _, name, column in new:
+            top[column] = max(top[column], self.spark.read.parquet(f"{folder}/{name}").agg(F.max(column)).first()[0] or 0)
+        self.log.commit(last, kind, folder, note=top)
+
+    def _top(self, last: Commit | None) -> dict[str, int]:
+        """The greatest ids given out, as the last commit notes them; looked up where a commit has no note."""
+        if last is None:
+            return {"doc_id": 0, "chunk_id": 0}
+        if last.note is None:
+            return {c: self._read(t, self._layers()).agg(F.max(c)).first()[0] or 0 for t, c in (("documents", "doc_id"), ("chunks", "chunk_id"))}
+        return dict(last.note)
 
     def upsert(self, extracted: DataFrame, at_ms: int | None = None) -> DataFrame:
         """Store a batch of extracted documents; the last row of a path wins. Returns (doc_id, path, status).
@@ -97,13 +107,12 @@ class Store:
         batch = extracted.where("path IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
         batch = written(batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), "_row").alias("d")).select("d.*").drop("_row"))
         known = self.documents().select("path", "doc_id")
-        top = self.documents().agg(F.max("doc_id")).first()[0] or 0
-        fresh = numbered(batch.select("path").join(known, "path", "left_anti"), ["path"], "doc_id", top + 1)
+        top = self._top(self.log.last())
+        fresh = numbered(batch.select("path").join(known, "path", "left_anti"), ["path"], "doc_id", top["doc_id"] + 1)
         ids = known.join(batch.select("path"), "path", "left_semi").unionByName(fresh)
         rows = written(batch.join(ids, "path").withColumns({"indexed_at_ms": F.lit(at_ms).cast("long"), "deleted_at_ms": F.lit(None).cast("long")}))
         parts = rows.where("status = 'ok'").select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*").withColumn("active", F.lit(True))
-        top_chunk = self._read("chunks", self._layers()).agg(F.max("chunk_id")).first()[0] or 0
-        self._commit(rows, numbered(parts, ["doc_id", "page_no", "chunk_ord"], "chunk_id", top_chunk + 1))
+        self._commit(rows, numbered(parts, ["doc_id", "page_no", "chunk_ord"], "chunk_id", top["chunk_id"] + 1))
         return rows.select("doc_id", "path", "status")
 
     def mark_deleted(self, paths: DataFrame, at_ms: int | None = None) -> DataFrame:

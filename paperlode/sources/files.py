@@ -6,12 +6,12 @@ which Spark's own file sources leave out; ``.gitignore`` files may be heeded, an
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -40,30 +40,73 @@ def scan_one(path: str) -> tuple[str, int, int, int, int] | None:
     return identity(path) if is_pdf(path) else None
 
 
+@cache
+def ignore_rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
+    """(pattern of paths below the file's folder, whether it takes back, whether it holds for folders alone) of a line of an
+    ignore file; None for blank lines and comments.
+
+    A rule with a slash before its end counts from the file's folder, any other at every depth. ``*`` and ``?`` stay within a
+    name, ``**`` as a whole name stands for any number of folders.
+    """
+    line = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    body = line[1:] if back else line
+    folders = body.endswith("/")
+    names = body.strip("/").split("/")
+    if "/" not in body.rstrip("/"):
+        names = ["**", *names]
+    out = ""
+    for i, name in enumerate(names):
+        last = i == len(names) - 1
+        if name == "**":
+            out += ".+" if last else "(?:[^/]+/)*"
+            continue
+        at = 0
+        while at < len(name):
+            c = name[at]
+            closing = name.find("]", at + 2) if c == "[" else -1
+            if c in "*?":
+                out += "[^/]*" if c == "*" else "[^/]"
+            elif closing > 0:
+                inner = name[at + 1 : closing]
+                out += "[" + ("^/" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]"
+                at = closing
+            elif c == "\\" and at + 1 < len(name):
+                at += 1
+                out += re.escape(name[at])
+            else:
+                out += re.escape(c)
+            at += 1
+        out += "" if last else "/"
+    return re.compile(out, re.DOTALL), back, folders
+
+
 def _ignored(rules: list[tuple[str, str]], path: str, folder: bool) -> bool:
     """The last rule that fits decides; rules are (folder of the file, line)."""
-    out = False
-    for base, rule in rules:
-        no = rule.startswith("!")
-        body = rule.lstrip("!")
-        if body.endswith("/") and not folder:
+    for base, line in reversed(rules):
+        rule = ignore_rule(line)
+        if rule is None or rule[2] and not folder:
             continue
-        body = body.rstrip("/")
-        inside = os.path.relpath(path, base)
-        fits = fnmatch.fnmatch(inside, body.lstrip("/")) if "/" in body else any(fnmatch.fnmatch(p, body) for p in inside.split(os.sep))
-        if fits:
-            out = not no
-    return out
+        if rule[0].fullmatch(os.path.relpath(path, base).replace(os.sep, "/")):
+            return not rule[1]
+    return False
 
 
 def walk(root: str, respect_ignore: bool = False, follow_links: bool = False) -> Iterator[tuple[str, int, int, int, int]]:
-    """Identities of all PDF files under a folder, hidden ones too."""
+    """Identities of all PDF files under a folder, hidden ones too. A folder that links lead to again is read once."""
     rules: dict[str, list[tuple[str, str]]] = {}
+    seen: set[str] = set()
     for folder, folders, names in os.walk(root, followlinks=follow_links):
+        if follow_links:
+            if (real := os.path.realpath(folder)) in seen:
+                folders.clear()
+                continue
+            seen.add(real)
         here = list(rules.get(os.path.dirname(folder), []))
         if respect_ignore and ".gitignore" in names:
-            lines = Path(folder, ".gitignore").read_text(errors="replace").splitlines()
-            here += [(folder, x.strip()) for x in lines if x.strip() and not x.startswith("#")]
+            here += [(folder, x) for x in Path(folder, ".gitignore").read_text(errors="replace").splitlines()]
         rules[folder] = here
         if respect_ignore:
             folders[:] = [f for f in folders if f != ".git" and not _ignored(here, os.path.join(folder, f), True)]

@@ -56,21 +56,25 @@ class Progress:
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """Adds the bytes of each file, read by the worker; a file that is gone by then is left out."""
+    """Adds the bytes of each file, read by the worker, or why it can't be read; a file that is gone by then is left out,
+    as its removal is an event of its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, path in enumerate(batch.column("path").to_pylist()):
+                data, failure = None, None
                 try:
                     with open(path, "rb") as f:
                         data = f.read()
-                except OSError:
+                except FileNotFoundError:
                     continue
+                except OSError as e:
+                    failure = str(e)
                 row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "content"])
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary()), pa.array([failure], pa.string())], [*row.schema.names, "content", "failure"])
 
     names = ["path", "size_bytes", "mtime_ns", "dev", "ino"]
-    return files.select(*names).mapInArrow(run, "path string, size_bytes long, mtime_ns long, dev long, ino long, content binary")
+    return files.select(*names).mapInArrow(run, "path string, size_bytes long, mtime_ns long, dev long, ino long, content binary, failure string")
 
 
 class LiveIndex:

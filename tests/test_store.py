@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlode.operators import incremental
-from paperlode.operators.extract import documents_of, error_text, plain_text
+from paperlode.operators.extract import documents_of, error_text, extract, plain_text
 from paperlode.operators.ids import numbered
 from paperlode.operators.store import Store
 from paperlode.plans import changes
+from paperlode.sources import files
 from paperlode.sources.files import PdfFiles, is_pdf, store_path, walk
-from paperlode.streaming.live import LiveIndex, Options
+from paperlode.streaming.live import LiveIndex, Options, with_content
 
 READ = "path string, size_bytes long, mtime_ns long, dev long, ino long, text string, error_text string"
 
@@ -101,6 +102,41 @@ def test_listing(spark, tmp_path):
     assert store_path("/d", "/x/my docs").startswith("/d/paperlode/my_docs-") and len(store_path("/d", "/x/y")) == len("/d/paperlode/y-") + 16
 
 
+@pytest.mark.parametrize(("rule", "path", "folder", "fits"), [
+    ("*.pdf", "a/b.pdf", False, True), ("/*.pdf", "a/b.pdf", False, False), ("a/*.pdf", "a/b.pdf", False, True), ("a/*.pdf", "a/c/b.pdf", False, False), ("**/x.pdf", "x.pdf", False, True), ("**/x.pdf", "a/b/x.pdf", False, True),
+    ("a/**", "a/b/c.pdf", False, True), ("a/**", "a", True, False), ("a/**/c.pdf", "a/c.pdf", False, True), ("skip/", "skip", False, False), ("skip/", "d/skip", True, True), ("x?.pdf", "xy.pdf", False, True), ("x[0-9].pdf", "x7.pdf", False, True),
+    ("x[!0-9].pdf", "x7.pdf", False, False), (r"\#a.pdf", "#a.pdf", False, True), ("a.pdf  ", "a.pdf", False, True), ("# a.pdf", "# a.pdf", False, False), ("", "a.pdf", False, False),
+])
+def test_ignore_rules(rule, path, folder, fits):
+    assert files._ignored([("/r", rule)], f"/r/{path}", folder) == fits
+    assert not files._ignored([("/r", rule), ("/r", "!" + rule)], f"/r/{path}", folder)
+
+
+def test_links_in_a_circle(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.pdf").write_text("x")
+    (tmp_path / "a" / "again").symlink_to(tmp_path, target_is_directory=True)
+    assert len(list(walk(str(tmp_path), follow_links=True))) == 1 == len(list(walk(str(tmp_path))))
+
+
+def test_a_file_that_cannot_be_read_is_an_error(spark, tmp_path):
+    (tmp_path / "good.pdf").write_text("text")
+    (tmp_path / "bad.pdf").mkdir()  # reading it fails
+    rows = spark.createDataFrame([(str(tmp_path / n), 1, 1, None, None) for n in ("good.pdf", "bad.pdf", "gone.pdf")], "path string, size_bytes long, mtime_ns long, dev long, ino long")
+    got = {os.path.basename(r["path"]): r for r in extract(with_content(rows), plain_text, "plain", "1").collect()}
+    assert {n: r["status"] for n, r in got.items()} == {"good.pdf": "ok", "bad.pdf": "error"} and "directory" in got["bad.pdf"]["error_text"]
+
+
+def test_the_log_is_read_from_the_last_snapshot(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for n in range(3):
+        store.upsert(batch(spark, (f"/{n}.pdf", "text", None)), n)
+    store.compact()
+    store.upsert(batch(spark, ("/0.pdf", "new", None), ("/9.pdf", "text", None)), 9)
+    assert [s for s, _ in store._layers()] == [4, 5] and store.log.last().note == {"doc_id": 4, "chunk_id": 5}
+    assert sorted(r["doc_id"] for r in store.documents().collect()) == [1, 2, 3, 4]
+
+
 def test_live_index(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
