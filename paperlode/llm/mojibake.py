@@ -411,7 +411,7 @@ def garbled(chunks: DataFrame) -> DataFrame:
         found.where("source IS NOT NULL").groupBy("source", "symbol", "l", "r").agg(F.sum("n").alias("n"))
         .groupBy("source").applyInPandas(per_source, "source string, symbol string, l short, r short, letter string, p double, w int")
     )
-    hits = found.join(mapping, ["source", "symbol", "l", "r"]).groupBy("chunk_id", "body", "symbol", "l", "r").agg(F.first("letter").alias("letter"), F.first("p").alias("p"), F.first("w").alias("w"))
+    hits = written(found.join(mapping, ["source", "symbol", "l", "r"]).groupBy("chunk_id", "body", "symbol", "l", "r").agg(F.first("letter").alias("letter"), F.first("p").alias("p"), F.first("w").alias("w")))
     shown = hits.groupBy("chunk_id").agg(F.max("w").alias("w"), F.count_if(F.col("w") == 1).alias("likely")).where("w = 2 OR likely >= 3")
     return hits.drop("w").join(shown.select("chunk_id"), "chunk_id")
 
