@@ -82,4 +82,4 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN r ON contains(d.t, r.p)
 
 
 def statements() -> dict[str, str]:
-    return {name.lower(): text for name, text in globals().items() if name.isupper() and isinstance(text, str)}
+    return {name.lower(): text for name, text in globals().items() if name.isupper() and name[0] != "_" and isinstance(text, str)}
