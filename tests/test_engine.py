@@ -61,4 +61,4 @@ def test_entry_points(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and "p4_found" in catalogue.queries()
     out = __spark_entry__.entry(spark)
-    assert out.columns == ["chunk_id", "doc_id", "path", "filename", "page_no", "chunk_ord", "score", "snippet"] and out.count() > 0
+    assert out.columns == ["chunk_id", "doc_id", "path", "filename", "page_no", "chunk_ord", "score", "snippet", "rank"] and out.count() > 0
