@@ -79,7 +79,8 @@ def p6_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, pieces, least, most, overlap): number and sizes of the pieces cut in ranges of 1,000 bytes."""
+    """(chunk_id, missing, chars, too_long, overlap_off): what is wrong with the pieces cut in ranges of 1,000 bytes: numbers
+    left out, pieces over the limit, characters by which overlaps are off (all 0), and the characters they reach."""
     spec = split.Split(range_bytes=1000)
     pieces = split.split_text(written(split.oversized(active_chunks(spark, sf_dir))), "chunk_id", "text_utf8", spec)
     size = F.col("last_char") - F.col("first_char")
